@@ -6,8 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from loomtok.llm.common import table
+from loomtok.llm.decontaminate import matches
 from loomtok.llm.packing import pack
+from loomtok.llm.quality_classifier import classify
+from loomtok.llm.quality_rules import apply_rules
+from loomtok.llm.simhash import near_duplicates
 from loomtok.llm.token_counts import count_tokens
+from loomtok.llm.url_rules import judge
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,5 +23,36 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_best_fit_packing)}
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_token_counts,
+        op2_best_fit_packing,
+        op3_url_filters,
+        op4_benchmark_decontamination,
+        op6_quality_rules,
+        op8_quality_classifier,
+        op10_simhash_near_dedup,
+    )
+}
 ORACLE_SQL: dict[str, str] = {}
