@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from loomtok.llm.common import table
 from loomtok.llm.decontaminate import matches
 from loomtok.llm.packing import pack
+from loomtok.llm.pii import detect
 from loomtok.llm.quality_classifier import classify
 from loomtok.llm.quality_rules import apply_rules
 from loomtok.llm.simhash import near_duplicates
+from loomtok.llm.substring_dedup import remove_repeats
 from loomtok.llm.token_counts import count_tokens
 from loomtok.llm.url_rules import judge
 
@@ -35,10 +37,18 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -51,7 +61,9 @@ QUERIES = {
         op3_url_filters,
         op4_benchmark_decontamination,
         op6_quality_rules,
+        op7_pii,
         op8_quality_classifier,
+        op9_substring_dedup,
         op10_simhash_near_dedup,
     )
 }
