@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loomtok.llm.common import table
 from loomtok.llm.decontaminate import matches
+from loomtok.llm.lm_scoring import score
 from loomtok.llm.packing import pack
 from loomtok.llm.pii import detect
 from loomtok.llm.quality_classifier import classify
@@ -33,6 +34,10 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -60,6 +65,7 @@ QUERIES = {
         op2_best_fit_packing,
         op3_url_filters,
         op4_benchmark_decontamination,
+        op5_lm_scoring,
         op6_quality_rules,
         op7_pii,
         op8_quality_classifier,
