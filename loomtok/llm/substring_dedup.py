@@ -31,7 +31,7 @@ from loomtok.llm.common import materialize
 
 WINDOW, GRAM = 35, 8
 #: Words of one shard's index, about, and different segments of one anchor above which its windows are hashed.
-SHARD, CROWD = 300_000, 3_000
+SHARD, CROWD = 150_000, 2_000
 _MIX, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -117,7 +117,25 @@ class FMIndex:
 
 
 def _search(shard: pd.DataFrame) -> pd.DataFrame:
-    """Runs of repeated windows (h1, h2, first, windows) of the segments to be searched in one shard."""
+    """Runs of repeated windows (h1, h2, first, windows) of the segments to be searched in one shard.
+
+    Equal windows have equal anchors, so a shard that got too many words is
+    searched some anchors at a time; an anchor has at most CROWD segments.
+    """
+    shard = shard.sort_values("g")
+    size = (shard.windows.to_numpy() + WINDOW - 1).cumsum()
+    ends = np.flatnonzero(np.concatenate([shard.g.to_numpy()[1:] != shard.g.to_numpy()[:-1], [True]])) + 1
+    found, first, done = [], 0, 0
+    for end in ends.tolist():
+        if size[end - 1] - done >= SHARD or end == len(shard):
+            part = shard.iloc[first:end]
+            if part.ask.any():
+                found.append(_search_index(part))
+            first, done = end, size[end - 1]
+    return pd.concat(found) if found else pd.DataFrame({c: np.zeros(0, np.int64) for c in ("h1", "h2", "first", "windows")})
+
+
+def _search_index(shard: pd.DataFrame) -> pd.DataFrame:
     ids: dict[bytes, int] = {}
     parts, starts, at = [], [], 0
     for text in shard.text:
@@ -230,7 +248,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     words = index.where("not crowd").agg(F.sum(F.col("windows") + WINDOW - 1)).first()[0] or 0
     shards = max(1, -(-words // SHARD))
-    dealt = index.where("not crowd").select(F.pmod(F.xxhash64("g"), F.lit(shards)).alias("shard"), "h1", "h2", "first", "windows", "text", "ask")
+    dealt = index.where("not crowd").select(F.pmod(F.xxhash64("g"), F.lit(shards)).alias("shard"), "g", "h1", "h2", "first", "windows", "text", "ask")
     by_index = dealt.groupBy("shard").applyInPandas(_search, "h1 long, h2 long, first long, windows long")
     hashed = index.where("crowd").select("h1", "h2", "first", "windows", "text").mapInArrow(_windows, "h1 long, h2 long, first long, w1 long, w2 long")
     twice = hashed.groupBy("w1", "w2").count().where("count > 1").select(_apart("w1"), _apart("w2"))
