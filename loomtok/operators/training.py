@@ -87,119 +87,178 @@ def corpus_counts(docs: DataFrame, config: TrainingConfig) -> tuple[list[tuple[s
 
 
 class MergeLoop:
-    """Chooses merges over words as lists of token ids, with their counts."""
+    """Chooses merges over words as lists of token ids, with their counts.
+
+    A pair is one number, left << 32 | right. Between recounts at most RECOUNT
+    merges are taken, so a rebuilt queue holds the best HELD pairs first, and
+    the others only once those are used up.
+    """
+
+    HELD = 3_000
 
     def __init__(self, words: list[list[int]], counts: list[int], tokens: list[str], entropy: dict[str, float], config: TrainingConfig) -> None:
         self.words, self.counts, self.tokens, self.config = words, counts, list(tokens), config
         self.ids = {t: i for i, t in enumerate(self.tokens)}
         self.char_entropy = {k: np.float32(v) for k, v in entropy.items()}
-        self.entropy: dict[int, np.float32] = {}
-        self.merges: dict[tuple[int, int], int] = {}
-        self.where: dict[tuple[int, int], set[int]] = defaultdict(set)
-        self.exact: Counter = Counter()
-        for n, (word, count) in enumerate(zip(words, counts, strict=True)):
-            for pair in zip(word, word[1:], strict=False):
-                self.exact[pair] += count
-                self.where[pair].add(n)
-        self.near: dict[tuple[int, int], set] = defaultdict(set)
+        self.entropy = np.zeros(max(1024, 2 * len(tokens)), np.float32)
+        for i, t in enumerate(self.tokens):
+            self._set_entropy(i, t)
+        self.merges: set[int] = set()
+        self.near: dict[int, np.float32] = {}
+        self._index()
         self.drift = dict(self.exact)
         self.rebuild()
-        for word in words:  # after the first queue: its scores have no diversity
-            pairs = list(zip(word, word[1:], strict=False))
-            for i, p in enumerate(pairs):
-                for q in pairs[i + 1 : i + 3]:
-                    self.near[p].add(q)
-                    self.near[q].add(p)
-
-    def token_entropy(self, i: int) -> np.float32:
-        if i not in self.entropy:
-            total = np.float32(0)
-            for ch in self.tokens[i]:
-                total = np.float32(total + self.char_entropy.get(ch, np.float32(0)))
-            self.entropy[i] = np.float32(total / np.float32(len(self.tokens[i]) or 1))
-        return self.entropy[i]
-
-    def priority(self, pair: tuple[int, int], count: int) -> int:
+        self._contexts()  # after the first queue: its scores have no diversity
+
+    def _set_entropy(self, i: int, token: str) -> None:
+        if i >= len(self.entropy):
+            self.entropy = np.concatenate([self.entropy, np.zeros_like(self.entropy)])
+        total = np.float32(0)
+        for ch in token:
+            total += self.char_entropy.get(ch, np.float32(0))
+        self.entropy[i] = total / np.float32(len(token) or 1)
+
+    def _index(self) -> None:
+        """Exact pair counts, and the words of each pair."""
+        length = np.fromiter(map(len, self.words), np.int64, len(self.words))
+        flat = np.fromiter((x for w in self.words for x in w), np.int64, int(length.sum()))
+        row = np.repeat(np.arange(len(length)), length)
+        inner = np.flatnonzero(row[1:] == row[:-1])
+        self._codes, self._rows = flat[inner] << 32 | flat[inner + 1], row[inner]
+        order = np.argsort(self._codes, kind="stable")
+        codes, at = np.unique(self._codes[order], return_index=True)
+        rows = self._rows[order]
+        weights = np.array(self.counts, np.int64)[rows]
+        sums = np.add.reduceat(weights, at) if len(at) else weights
+        self.exact: dict[int, int] = defaultdict(int, zip(codes.tolist(), sums.tolist(), strict=True))
+        self.where: dict[int, list] = {c: [part] for c, part in zip(codes.tolist(), np.split(rows, at[1:]), strict=True)}
+
+    def _contexts(self) -> None:
+        """ln(1 + distinct pairs one or two places away in a word), both ways."""
+        a, b = [], []
+        for k in (1, 2):
+            same = np.flatnonzero(self._rows[k:] == self._rows[:-k])
+            a += [self._codes[same], self._codes[same + k]]
+            b += [self._codes[same + k], self._codes[same]]
+        if a and len(a[0]):
+            kinds, at = np.unique(np.concatenate(a + b), return_inverse=True)
+            half = len(at) // 2
+            both = np.unique(at[:half].astype(np.int64) * len(kinds) + at[half:]) // len(kinds)
+            n = np.bincount(both, minlength=len(kinds))
+            self.near = dict(zip(kinds.tolist(), np.log1p(n.astype(np.float32)), strict=True))
+        del self._codes, self._rows
+
+    def priorities(self, pairs: np.ndarray, counts: np.ndarray) -> np.ndarray:
         f = np.float32
-        both = f(f(self.token_entropy(pair[0]) + self.token_entropy(pair[1])) / f(2))
-        near = f(np.log1p(f(len(self.near[pair])))) if pair in self.near else f(0)
-        score = f(f(f(FREQUENCY_WEIGHT) * f(np.log1p(f(f(count) + f(1))))) + f(f(ENTROPY_WEIGHT) * both)) + f(f(DIVERSITY_WEIGHT) * near)
-        return int(f(f(score) * f(1000)))
+        both = (self.entropy[pairs >> 32] + self.entropy[pairs & 0xFFFFFFFF]) / f(2)
+        near = np.fromiter((self.near.get(p, 0) for p in pairs.tolist()), f, len(pairs)) if self.near else np.zeros(len(pairs), f)
+        score = f(FREQUENCY_WEIGHT) * np.log1p(counts.astype(f) + f(1)) + f(ENTROPY_WEIGHT) * both + f(DIVERSITY_WEIGHT) * near
+        return (score * f(1000)).astype(np.int64)
 
-    def push(self, pair: tuple[int, int], count: int) -> None:
-        self.current[pair] = p = self.priority(pair, count)
-        heapq.heappush(self.heap, (-p, -pair[0], -pair[1]))
+    def push(self, pairs: list[int], counts: list[int]) -> None:
+        for pair, p in zip(pairs, self.priorities(np.array(pairs, np.int64), np.array(counts, np.int64)).tolist(), strict=True):
+            self.current[pair] = p
+            heapq.heappush(self.heap, (-p, -pair))
 
     def rebuild(self) -> None:
-        self.heap: list[tuple[int, int, int]] = []
-        self.current: dict[tuple[int, int], int] = {}
-        for pair, count in self.drift.items():
-            if count >= self.config.min_frequency:
-                self.push(pair, count)
-
-    def pop(self) -> tuple[tuple[int, int], int] | None:
-        while self.heap:
-            p, a, b = heapq.heappop(self.heap)
-            if self.current.get((-a, -b)) == -p:
-                del self.current[(-a, -b)]
-                return (-a, -b), -p
-        return None
-
-    def apply(self, pair: tuple[int, int], new: int) -> Counter:
+        pairs, counts = (np.fromiter(x, np.int64, len(self.drift)) for x in (self.drift.keys(), self.drift.values()))
+        some = counts >= self.config.min_frequency
+        pairs = pairs[some]
+        p = self.priorities(pairs, counts[some])
+        self.heap, self.current = [], {}
+        best = np.argpartition(-p, self.HELD)[: self.HELD] if len(p) > self.HELD else np.arange(len(p))
+        self.floor = int(p[best].min()) if len(p) > self.HELD else None
+        self.rest = (pairs, p)
+        self._hold(pairs[best], p[best])
+
+    def _hold(self, pairs: np.ndarray, p: np.ndarray) -> None:
+        for pair, x in zip(pairs.tolist(), p.tolist(), strict=True):
+            if pair not in self.current:
+                self.current[pair] = x
+                self.heap.append((-x, -pair))
+        heapq.heapify(self.heap)
+
+    def pop(self) -> tuple[int, int] | None:
+        while True:
+            if self.floor is not None and (not self.heap or -self.heap[0][0] <= self.floor):
+                self.floor = None
+                self._hold(*self.rest)  # those that are used up or changed stay in current
+            if not self.heap:
+                return None
+            p, pair = heapq.heappop(self.heap)
+            if self.current.get(-pair) == -p:
+                self.current[-pair] = -1
+                return -pair, -p
+
+    def apply(self, left: int, right: int, new: int) -> Counter:
         """Merges the pair in every word that has it; changes of neighbouring pairs, once for each distinct word."""
         changes: Counter = Counter()
-        for n in self.where.pop(pair, ()):
-            word, out, i = self.words[n], [], 0
-            while i < len(word):
-                if i + 1 < len(word) and (word[i], word[i + 1]) == pair:
-                    if out:
-                        changes[(out[-1], word[i])] -= 1
-                        changes[(out[-1], new)] += 1
-                    if i + 2 < len(word):
-                        changes[(word[i + 1], word[i + 2])] -= 1
-                        changes[(new, word[i + 2])] += 1
-                    # the merged token is looked at again, with its new neighbour
-                    word = [*word[:i], new, *word[i + 2 :]]
-                    if i + 1 < len(word) and (new, word[i + 1]) == pair:
-                        continue
-                out.append(word[i])
+        exact, where, words = self.exact, self.where, self.words
+        affected = {n for part in where.pop(left << 32 | right, ()) for n in (part.tolist() if isinstance(part, np.ndarray) else part)}
+        for n in affected:
+            word, out, i, hit = words[n], [], 0, False
+            size = len(word)
+            while i < size:
+                x = word[i]
+                if x == left and i + 1 < size and word[i + 1] == right:
+                    hit = True
+                    while True:
+                        if out:
+                            changes[out[-1] << 32 | x] -= 1
+                            changes[out[-1] << 32 | new] += 1
+                        if i + 2 < size:
+                            changes[right << 32 | word[i + 2]] -= 1
+                            changes[new << 32 | word[i + 2]] += 1
+                        i += 1
+                        x = new  # looked at again, with its new neighbour
+                        if not (x == left and i + 1 < size and word[i + 1] == right):
+                            break
+                out.append(x)
                 i += 1
-            if out != self.words[n]:
+            if hit:
                 count = self.counts[n]
-                for p in zip(self.words[n], self.words[n][1:], strict=False):
-                    self.exact[p] -= count
-                for p in zip(out, out[1:], strict=False):
-                    self.exact[p] += count
-                    self.where[p].add(n)
-                self.words[n] = out
+                for a, b in zip(word, word[1:], strict=False):
+                    exact[a << 32 | b] -= count
+                for a, b in zip(out, out[1:], strict=False):
+                    exact[a << 32 | b] += count
+                    if a == new or b == new:
+                        where.setdefault(a << 32 | b, []).append((n,))
+                words[n] = out
         return changes
 
     def run(self) -> list[tuple[int, int, int]]:
         """(l, r, new id) in order of rank; self.tokens grows with them."""
         out: list[tuple[int, int, int]] = []
+        least = self.config.min_frequency
         while len(self.tokens) < self.config.vocab_size and (got := self.pop()):
             pair, priority = got
-            if priority < self.config.min_frequency:
+            if priority < least:
                 break
             if pair in self.merges:
                 continue
-            text = self.tokens[pair[0]] + self.tokens[pair[1]]
+            left, right = pair >> 32, pair & 0xFFFFFFFF
+            text = self.tokens[left] + self.tokens[right]
             new = self.ids.setdefault(text, len(self.tokens))
             if new == len(self.tokens):
                 self.tokens.append(text)
-            self.merges[pair] = len(out)
-            out.append((*pair, new))
-            changes = self.apply(pair, new)
-            for p, delta in changes.items():
+                self._set_entropy(new, text)
+            self.merges.add(pair)
+            out.append((left, right, new))
+            pushed, counts = [], []
+            for p, delta in self.apply(left, right, new).items():
                 count = self.exact[p] if self.config.weighted_deltas else max(0, self.drift.get(p, 0) + delta)
                 if count > 0:
                     self.drift[p] = count
-                    if count >= self.config.min_frequency:
-                        self.push(p, count)
+                    if count >= least:
+                        pushed.append(p)
+                        counts.append(count)
                 else:
                     self.drift.pop(p, None)
+            if pushed:
+                self.push(pushed, counts)
             if len(out) % RECOUNT == 0:
-                self.drift = {p: c for p, c in self.exact.items() if c > 0}
+                self.exact = defaultdict(int, {p: c for p, c in self.exact.items() if c > 0})
+                self.drift = dict(self.exact)
                 self.rebuild()
         return out
 
