@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,16 +34,47 @@ def decode_ids(model: Model, ids: list[int], skip_special: bool = False) -> str:
         return ERROR
 
 
+class Decoder:
+    """Texts of a whole Arrow list column: bytes are gathered at once, rows that need a message one by one."""
+
+    def __init__(self, model: Model, skip_special: bool) -> None:
+        self.model, self.skip = model, skip_special
+        self.length = np.array([*map(len, model.tokens)], np.int64)
+        self.start = np.concatenate([[0], self.length.cumsum()])[:-1]
+        self.blob = np.frombuffer(b"".join(model.tokens), np.uint8)
+        self.drop = np.isin(np.arange(len(model.tokens)), list(model.special_ids))
+
+    def __call__(self, column: pa.ListArray) -> pa.Array:
+        offsets = column.offsets.to_numpy().astype(np.int64)
+        ids = column.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
+        offsets = offsets - offsets[0]
+        bad = np.any((ids < 0) | (ids >= len(self.length))) if len(ids) else False
+        if bad or column.null_count:
+            return pa.array([None if x is None else decode_ids(self.model, x, self.skip) for x in column.to_pylist()], pa.string())
+        length = np.where(self.drop[ids], 0, self.length[ids]) if self.skip else self.length[ids]
+        ends = np.concatenate([[0], length.cumsum()])
+        data = self.blob[np.repeat(self.start[ids] - ends[:-1], length) + np.arange(ends[-1])] if len(ids) else np.zeros(0, np.uint8)
+        at = ends[offsets]
+        raw = data.tobytes()
+        try:
+            raw.decode()
+            whole = not np.any((data[at[:-1][at[:-1] < len(data)]] & 0xC0) == 0x80)
+        except UnicodeDecodeError:
+            whole = False
+        if not whole or at[-1] >= 1 << 31:
+            return pa.array([decode_ids(self.model, x, self.skip) for x in column.to_pylist()], pa.string())
+        return pa.StringArray.from_buffers(len(column), pa.py_buffer(at.astype(np.int32)), pa.py_buffer(raw))
+
+
 def decode(df: DataFrame, model: Model, column: str = "ids", out: str = "decoded", skip_special: bool = False) -> DataFrame:
     """df and the text of an id column; null ids give null. No shuffle; works on streams."""
     shared = df.sparkSession.sparkContext.broadcast(model)  # a vocabulary
     at = df.columns.index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        decoder = Decoder(shared.value, skip_special)
         for batch in batches:
-            text = [None if x is None else decode_ids(model, x, skip_special) for x in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(text, pa.string())], names=[*batch.schema.names, out])
+            yield pa.RecordBatch.from_arrays([*batch.columns, decoder(batch.column(at))], names=[*batch.schema.names, out])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.StringType())]))
 

@@ -1,9 +1,10 @@
 """Encoding: text to ids.
 
-No rule holds white space, so the ids of a text are the ids of its runs of
-white space and of anything else, in order. Each worker keeps the ids of runs
-it has met, as bytes, and a batch becomes one Arrow list column with a single
-join. Models without merges map UTF-8 bytes to ids for a whole batch at once.
+No rule holds white space, so a text can be cut at any blank: its ids are those
+of the parts, each with its blank in front, and the ids of a part are those of
+its runs of white space and of anything else. Each worker keeps the ids of
+parts it has met, as bytes, and a batch becomes one Arrow list column with a
+single join. Models without merges map UTF-8 bytes to ids for a whole batch at once.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ from loomtok.functions.text import byte_values
 from loomtok.model import Model
 
 _RUNS = re.compile("[^\\S\x1c-\x1f]+|[\\S\x1c-\x1f]+")
-#: Runs in one generation of a worker's cache.
-CACHED = 200_000
+#: Parts in one generation of a worker's cache, and characters above which a part isn't kept.
+CACHED, LONG = 200_000, 64
 
 
 def sweep(ids: list[int], rules: dict[tuple[int, int], int]) -> list[int]:
@@ -88,13 +89,15 @@ class Encoder:
             ids = now
         return lowest_first(ids, self.late) if self.late and len(ids) > 2 else ids
 
-    def _missed(self, run: str) -> bytes:
-        x = self.old.get(run)
-        if x is None:
-            x = np.array(self.run(run), "<i4").tobytes()
-        if len(self.new) >= CACHED:
-            self.old, self.new = self.new, {}
-        self.new[run] = x
+    def _part(self, part: str) -> bytes:
+        return np.array([i for r in _RUNS.findall(part) for i in self.run(r)], "<i4").tobytes()
+
+    def _missed(self, part: str) -> bytes:
+        x = self.old.get(part) or self._part(" " + part)
+        if len(part) <= LONG:
+            if len(self.new) >= CACHED:
+                self.old, self.new = self.new, {}
+            self.new[part] = x
         return x
 
     def characters(self, text: str) -> list[int]:
@@ -117,8 +120,9 @@ class Encoder:
             return np.array(self.characters(text), "<i4").tobytes()
         if not self.model.merges:
             return np.array(self.byte_ids, "<i4")[np.frombuffer(text.encode(), np.uint8)].tobytes()
-        new, missed = self.new.get, self._missed
-        return b"".join([new(r) or missed(r) for r in _RUNS.findall(text)])
+        first, *rest = text.split(" ")
+        missed = self._missed
+        return self._part(first) + b"".join([self.new.get(x) or missed(x) for x in rest])
 
     def __call__(self, text: str) -> bytes:
         """Ids as little-endian int32, after the size guard and NFC; special tokens aren't added here."""

@@ -131,7 +131,8 @@ class MergeLoop:
         weights = np.array(self.counts, np.int64)[rows]
         sums = np.add.reduceat(weights, at) if len(at) else weights
         self.exact: dict[int, int] = defaultdict(int, zip(codes.tolist(), sums.tolist(), strict=True))
-        self.where: dict[int, list] = {c: [part] for c, part in zip(codes.tolist(), np.split(rows, at[1:]), strict=True)}
+        self.where: dict[int, np.ndarray] = dict(zip(codes.tolist(), np.split(rows, at[1:]), strict=True))
+        self.later: dict[int, list[int]] = defaultdict(list)  # words of pairs that merges made
 
     def _contexts(self) -> None:
         """ln(1 + distinct pairs one or two places away in a word), both ways."""
@@ -190,39 +191,39 @@ class MergeLoop:
                 self.current[-pair] = -1
                 return -pair, -p
 
-    def apply(self, left: int, right: int, new: int) -> Counter:
+    def apply(self, left: int, right: int, new: int) -> dict[int, int]:
         """Merges the pair in every word that has it; changes of neighbouring pairs, once for each distinct word."""
-        changes: Counter = Counter()
-        exact, where, words = self.exact, self.where, self.words
-        affected = {n for part in where.pop(left << 32 | right, ()) for n in (part.tolist() if isinstance(part, np.ndarray) else part)}
+        changes: dict[int, int] = defaultdict(int)
+        exact, later, words, counts = self.exact, self.later, self.words, self.counts
+        code = left << 32 | right
+        affected = {*self.where.pop(code, np.zeros(0, np.int64)).tolist(), *later.pop(code, ())}
         for n in affected:
-            word, out, i, hit = words[n], [], 0, False
-            size = len(word)
+            word, out, i, hits = words[n], [], 0, 0
+            size, count = len(word), counts[n]
             while i < size:
                 x = word[i]
-                if x == left and i + 1 < size and word[i + 1] == right:
-                    hit = True
-                    while True:
-                        if out:
-                            changes[out[-1] << 32 | x] -= 1
-                            changes[out[-1] << 32 | new] += 1
-                        if i + 2 < size:
-                            changes[right << 32 | word[i + 2]] -= 1
-                            changes[new << 32 | word[i + 2]] += 1
-                        i += 1
-                        x = new  # looked at again, with its new neighbour
-                        if not (x == left and i + 1 < size and word[i + 1] == right):
-                            break
+                while x == left and i + 1 < size and word[i + 1] == right:
+                    hits += 1
+                    if out:
+                        gone, come = out[-1] << 32 | x, out[-1] << 32 | new
+                        changes[gone] -= 1
+                        changes[come] += 1
+                        exact[gone] -= count
+                        exact[come] += count
+                        later[come].append(n)
+                    i += 1
+                    if i + 1 < size:
+                        gone, come = right << 32 | word[i + 1], new << 32 | word[i + 1]
+                        changes[gone] -= 1
+                        changes[come] += 1
+                        exact[gone] -= count
+                        exact[come] += count
+                        later[come].append(n)
+                    x = new  # looked at again, with its new neighbour
                 out.append(x)
                 i += 1
-            if hit:
-                count = self.counts[n]
-                for a, b in zip(word, word[1:], strict=False):
-                    exact[a << 32 | b] -= count
-                for a, b in zip(out, out[1:], strict=False):
-                    exact[a << 32 | b] += count
-                    if a == new or b == new:
-                        where.setdefault(a << 32 | b, []).append((n,))
+            if hits:
+                exact[code] -= hits * count
                 words[n] = out
         return changes
 
