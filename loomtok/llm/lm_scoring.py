@@ -130,21 +130,24 @@ def events(model: Model, texts: list[str | None]) -> Iterator[tuple[np.ndarray,
                 context = (context + before[k][at]) * _A
                 context ^= context >> np.uint64(31)
         yield rows[at][of], bit, np.zeros(len(of), np.int8), np.stack(slots)
-        words = spelled[upto[a] : upto[min(a + TOKENS, len(real))]]
-        if not words:
-            continue
-        text = np.frombuffer(b"".join(x + b" " for x in words), np.uint8).astype(np.int64)
-        length = np.array([len(x) + 1 for x in words])
-        inside = np.arange(len(text)) - np.repeat(np.cumsum(length) - length, length)
-        letter_row = np.repeat(rows[at][w[at] == model.escape], length)
-        of, node, bit = _paths(model.letters, text)
-        context, slots = np.full(len(text), 77, np.uint64), []
-        for k in range(ORDERS):
-            shifted = np.concatenate([np.zeros(k + 1, np.int64), text[: -(k + 1)]])[: len(text)] if len(text) > k + 1 else np.zeros(len(text), np.int64)
-            context = (context + np.where(inside > k, shifted, 256).astype(np.uint64)) * _A
-            context ^= context >> np.uint64(31)
-            slots.append(_slots((context + np.uint64(k))[of], node))
-        yield letter_row[of], bit, np.ones(len(of), np.int8), np.stack(slots)
+        if words := spelled[upto[a] : upto[min(a + TOKENS, len(real))]]:
+            yield spelling(model, words, rows[at][w[at] == model.escape])
+
+
+def spelling(model: Model, words: list[bytes], rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bits of words that are spelled, each closed by a blank, in contexts of the letters before."""
+    text = np.frombuffer(b"".join(x + b" " for x in words), np.uint8).astype(np.int64)
+    length = np.array([len(x) + 1 for x in words])
+    inside = np.arange(len(text)) - np.repeat(np.cumsum(length) - length, length)
+    of, node, bit = _paths(model.letters, text)
+    context, slots = np.full(len(text), 77, np.uint64), []
+    for k in range(ORDERS):
+        shifted = np.zeros(len(text), np.int64)
+        shifted[k + 1 :] = text[: max(0, len(text) - k - 1)]
+        context = (context + np.where(inside > k, shifted, 256).astype(np.uint64)) * _A
+        context ^= context >> np.uint64(31)
+        slots.append(_slots((context + np.uint64(k))[of], node))
+    return np.repeat(rows, length)[of], bit, np.ones(len(of), np.int8), np.stack(slots)
 
 
 def _odds(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
@@ -276,6 +279,13 @@ def fit(train: DataFrame, counts: DataFrame) -> Model:
     seen = model.seen.reshape(-1, 2 * BLOCK)
     for r in parts.repartition(min(64, shuffle_partitions(spark)), "block").mapInArrow(_add, "block long, counts binary").collect():  # ORDERS << BITS slots
         seen[r.block] = np.frombuffer(zlib.decompress(r.counts), np.uint16)
+    # every frequent word is spelled once as well, as each was unknown when it first came
+    for a in range(0, len(model.words), TOKENS // 4):
+        words = model.words[a : a + TOKENS // 4]
+        _, bit, _, slots = spelling(model, words, np.zeros(len(words), np.int64))
+        for k in range(ORDERS):
+            more = np.bincount(2 * slots[k] + bit, minlength=2 << BITS)
+            model.seen[k] = np.minimum(model.seen[k] + more, 65_000).astype(np.uint16)
     shared = spark.sparkContext.broadcast(model)
 
     def mix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
