@@ -24,5 +24,5 @@ def running_token_counts(stream: DataFrame, model: Model, column: str = "text")
 
 def windowed_tokens(stream: DataFrame, model: Model, time: str, column: str, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Tokens of each window of event time; the watermark bounds the state and drops what comes later."""
-    timed = encode(stream.withWatermark(time, late).select(time, column), model, column)
+    timed = encode(stream.select(F.col(time).cast("timestamp").alias(time), column).withWatermark(time, late), model, column)
     return timed.groupBy(F.window(time, window).alias("w")).agg(F.sum(F.size("ids")).alias("n_tokens"), F.count("*").alias("n")).select("w.start", "w.end", "n_tokens", "n")
