@@ -33,9 +33,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it again: cuts lineage, survives lost executors."""
+    """Writes df as a table in the shared folder and reads it again: cuts lineage, survives lost executors.
+
+    All tables of an application are below loomtok/<its id>, to be removed with it.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/loomtok/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -272,7 +272,14 @@ def fit(train: DataFrame, counts: DataFrame) -> Model:
     spark = train.sparkSession
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("kinds")).first()
     # rarer words teach the second tree how unknown ones are spelled; the end always has a path
-    top = counts.where((F.col("n") >= COMMON) | (F.length("word") == 0)).orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
+    common = counts.where((F.col("n") >= COMMON) & (F.length("word") > 0)).withColumn("step", F.floor(F.log2("n") * 16).cast("int"))
+    room, least = VOCABULARY - 1, 1 << 20
+    for r in common.groupBy("step").count().orderBy(F.desc("step")).collect():  # at most 16 x 63 steps
+        if (room := room - r["count"]) < 0:
+            break
+        least = r.step
+    end = counts.where(F.length("word") == 0).select("word", "n")
+    top = sorted(common.where(F.col("step") >= least).select("word", "n").union(end).collect(), key=lambda r: (-r.n, r.word))
     model = Model([bytes(r.word) for r in top], [r.n for r in top], total.n, total.kinds)
     text = train.select("text")
     parts = text.mapInArrow(_gather(spark.sparkContext.broadcast(model)), "block long, counts binary")
