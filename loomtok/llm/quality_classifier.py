@@ -20,26 +20,36 @@ from loomtok.llm.labelled import FOLDS, SAMPLE, labelled_sample
 THRESHOLD, TREES, DEPTH, BINS = 0.3, 40, 3, 48
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """Statistics of a text; null counts as empty."""
+def counts(text: Column) -> dict[str, Column]:
+    """What is counted in a text; null counts as empty."""
     t = F.coalesce(text, F.lit(""))
-    chars, words = F.length(t), F.regexp_count(t, F.lit(WORD))
-    lines, line_list = F.regexp_count(t, F.lit("\n")) + 1, F.split(t, "\n")
-    per = lambda pattern: F.regexp_count(t, F.lit(pattern)) / (words + 1)
-    return {
-        "log_words": F.log1p(words),
-        "word_chars": chars / (words + 1),
-        "upper": per("[A-Z]"),
-        "shouted": per("[A-Z]{2}"),
-        "digits": per("[0-9]"),
-        "symbols": per(r"[#*$%&|<>]"),
-        "bangs": per("!"),
-        "stops": per(r"[.?]"),
-        "commas": per(","),
-        "lines": lines / (words + 1),
-        "same_lines": F.size(F.array_distinct(line_list)) / lines,
-        "same_words": F.size(F.array_distinct(F.split(t, " "))) / (words + 1),
-    }
+    patterns = {"words": WORD, "upper": "[A-Z]", "shouted": "[A-Z]{2}", "digits": "[0-9]", "symbols": r"[#*$%&|<>]", "bangs": "!", "stops": "[.?]", "commas": ","}
+    lines = F.split(t, "\n")
+    sizes = {"chars": F.length(t), "lines": F.size(lines), "kinds_of_lines": F.size(F.array_distinct(lines)), "kinds_of_words": F.size(F.array_distinct(F.split(t, " ")))}
+    return {**{k: F.regexp_count(t, F.lit(p)) for k, p in patterns.items()}, **sizes}
+
+
+def ratios(c: dict[str, Column]) -> dict[str, Column]:
+    """The statistics that rules put thresholds on, from counts()."""
+    n = c["words"] + 1
+    per = {k: c[k] / n for k in ("upper", "shouted", "digits", "symbols", "bangs", "stops", "commas", "lines")}
+    return {"log_words": F.log1p(c["words"]), "word_chars": c["chars"] / n, **per, "same_lines": c["kinds_of_lines"] / c["lines"], "same_words": c["kinds_of_words"] / n}
+
+
+NAMES = ("log_words", "word_chars", "upper", "shouted", "digits", "symbols", "bangs", "stops", "commas", "lines", "same_lines", "same_words")
+
+
+def statistics(rows: DataFrame, *keep: str) -> DataFrame:
+    """The columns to keep, and the statistics under __ and their names.
+
+    Counts are made once each, in a projection. The ratios come out of a
+    generator, since a filter on them would else be pushed below and repeat
+    every count in every rule.
+    """
+    made = counts(F.col("text"))
+    rows = rows.select(*keep, *(c.alias(f"__n_{k}") for k, c in made.items()))
+    found = ratios({k: F.col(f"__n_{k}") for k in made})
+    return rows.select(*keep, F.inline(F.array(F.struct(*(found[k].alias(f"__{k}") for k in NAMES)))))
 
 
 Condition = tuple[int, bool, float]  # feature, above the threshold, threshold
@@ -126,8 +136,8 @@ class RuleEnsemble:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", penalty: float = 0.0005, most: int = SAMPLE) -> RuleEnsemble:
     """Fits on labelled_sample(). With no labels, or one class, the score is a smoothed share of label 1."""
-    names = list(statistics(F.col("text")))
-    rows = labelled_sample(docs, labels, label, most).select("doc_id", "y", *(c.alias(n) for n, c in statistics(F.col("text")).items())).toPandas()
+    names = [f"__{n}" for n in NAMES]
+    rows = statistics(labelled_sample(docs, labels, label, most), "doc_id", "y").toPandas()
     rows = rows.sort_values(["doc_id", *names])  # the same fit whatever the order of arrival
     x, y = rows[names].to_numpy(float).reshape(-1, len(names)), rows.y.to_numpy(float)
     share = (y.sum() + 1) / (len(y) + 2)
@@ -140,10 +150,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", penalty: flo
 
 def score(docs: DataFrame, model: RuleEnsemble) -> DataFrame:
     """docs' own columns, and score and predicted (which replace columns of those names)."""
-    mine = {f"__{n}": c for n, c in statistics(F.col("text")).items()}
-    model = RuleEnsemble([f"__{n}" for n in model.names], model.intercept, model.rules)
     kept = [c for c in docs.columns if c.lower() not in ("score", "predicted")]
-    out = docs.select(*kept, *(c.alias(n) for n, c in mine.items())).select(*kept, model.column().alias("score"))
+    out = statistics(docs, *kept).select(*kept, model.column().alias("score"))
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
