@@ -2,16 +2,19 @@
 
 A text is its tokens (words and one end). A frequent token is a path through a
 binary tree, any other an escape and its bytes through a second tree, so that a
-text is a row of bits. Four predictors, the counts of ones and zeros in tables
+text is a row of bits. Three predictors, the counts of ones and zeros in tables
 of hashed contexts of rising order, say how likely each bit is; their log odds
 are mixed with weights that a gate picks by how much the contexts have seen,
 learned online, and a last table of adaptive corrections refines the result.
 The product over all bits is the probability of the text.
 
-Counts and corrections come from all training texts: tasks gather theirs, and
-sums meet block by block. The tables have a fixed size, whatever the corpus.
-Mixing weights are learned by each task over its texts, without a text's own
-counts, and averaged.
+Counts, weights and corrections come from all training texts, in one pass: each
+task predicts a stretch of bits from what it has seen so far, learns from the
+errors, and then counts them. The counts of tasks meet block by block, weights
+and corrections are averaged. How a word is spelled depends on the word alone,
+so spellings are learned from the table of words, each with its count, and a
+word's spelling is scored once. The tables have a fixed size, whatever the
+corpus.
 """
 
 from __future__ import annotations
@@ -32,9 +35,11 @@ from loomtok.llm.common import crc_mod, materialize, shuffle_partitions
 FOLDS = 10
 #: Tokens with a path of their own, and how often they occur at least; slots of a context's table, as bits; slots of a block of counts that tasks exchange.
 VOCABULARY, COMMON, BITS, BLOCK = 65_536, 3, 20, 1 << 12
-ORDERS, GATES, STEPS = 4, 64, 33
+ORDERS, GATES, STEPS = 3, 32, 33
+#: How many letters before a letter the contexts of a spelling hold.
+LETTERS = (2, 3, 5)
 #: Tokens looked at together, and bits to an update of the weights.
-TOKENS, BATCH = 40_000, 1 << 16
+TOKENS, BATCH = 20_000, 1 << 16
 _A = np.uint64(0x9E3779B97F4A7C15)
 _B = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -84,6 +89,7 @@ class Model:
         for w in self.words:
             np.add.at(letters, np.frombuffer(w + b" ", np.uint8), 1)
         self.letters = huffman(letters.tolist())
+        self.corrected = np.full((GATES, STEPS), 0.5, np.float32)
         self.seen = np.zeros((ORDERS, 2 << BITS), np.uint16)
         self.weights = np.tile(np.array([0.3] * ORDERS + [0.0]), (GATES, 1))
         self.fixed = None
@@ -102,36 +108,53 @@ def _paths(tree: tuple[np.ndarray, np.ndarray, np.ndarray], symbols: np.ndarray)
 
 
 def _slots(context: np.ndarray, node: np.ndarray) -> np.ndarray:
-    h = (context + node.astype(np.uint64)) * _A
-    h ^= h >> np.uint64(29)
-    return ((h * _B) >> np.uint64(64 - BITS)).astype(np.int64)
+    h = node.astype(np.uint64) * _B
+    h += context
+    h *= _A
+    h >>= np.uint64(64 - BITS)
+    return h.astype(np.int32)
 
 
-def events(model: Model, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Row of the text, value, kind (0 of a token, 1 of a byte) and slots of every bit, some tokens at a time."""
-    row, ids, spelled = [], [], []
+#: No words stand before the first.
+_NONE = [-1] * (ORDERS - 1)
+Bits = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def _groups(texts: list[str | None]) -> Iterator[tuple[list[int], list[list[bytes]]]]:
+    """Rows and tokens of texts, about TOKENS at a time; a text stays in one piece."""
+    rows, held, size = [], [], 0
     for n, text in enumerate(texts):
-        words = tokens(text)
-        got = [model.ids.get(w, model.escape) for w in words]
-        spelled += [w for w, i in zip(words, got, strict=True) if i == model.escape]
-        ids += [-1, -1, -1, *got]  # no words before the first
-        row += [n] * (len(got) + 3)
-    w, rows = np.array(ids, np.int64), np.array(row)
-    before = [np.concatenate([np.full(k, -1), w[:-k]]).astype(np.uint64) + np.uint64(3) for k in (1, 2, 3)]
+        rows.append(n)
+        held.append(tokens(text))
+        size += len(held[-1])
+        if size >= TOKENS:
+            yield rows, held
+            rows, held, size = [], [], 0
+    if rows:
+        yield rows, held
+
+
+def events(model: Model, rows: list[int], held: list[list[bytes]]) -> Iterator[Bits]:
+    """Row of the text, value, kind (0) and slots of every bit of the tokens' paths; unknown words end with the escape."""
+    get, escape = model.ids.get, model.escape
+    ids: list[int] = []
+    for words in held:
+        ids += _NONE
+        ids += [get(x, escape) for x in words]
+    w = np.array(ids, np.int64)
+    row = np.repeat(np.array(rows), [len(x) + len(_NONE) for x in held])
+    before = [np.concatenate([np.full(k, -1), w[:-k]]).astype(np.uint64) + np.uint64(3) for k in range(1, ORDERS)]
     real = np.flatnonzero(w >= 0)
-    upto = np.concatenate([[0], np.cumsum(w[real] == model.escape)])
     for a in range(0, len(real), TOKENS):
         at = real[a : a + TOKENS]
         of, node, bit = _paths(model.tree, w[at])
         context, slots = np.zeros(len(at), np.uint64), []
         for k in range(ORDERS):
-            slots.append(_slots((context * _B + np.uint64(k + 1))[of], node))
-            if k < 3:
-                context = (context + before[k][at]) * _A
+            slots.append(_slots(context[of], node))
+            if k < ORDERS - 1:
+                context = (context + before[k][at] + np.uint64(k + 1)) * _A
                 context ^= context >> np.uint64(31)
-        yield rows[at][of], bit, np.zeros(len(of), np.int8), np.stack(slots)
-        if words := spelled[upto[a] : upto[min(a + TOKENS, len(real))]]:
-            yield spelling(model, words, rows[at][w[at] == model.escape])
+        yield row[at][of], bit, np.zeros(len(of), np.int8), np.stack(slots)
 
 
 def spelling(model: Model, words: list[bytes], rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -141,81 +164,100 @@ def spelling(model: Model, words: list[bytes], rows: np.ndarray) -> tuple[np.nda
     inside = np.arange(len(text)) - np.repeat(np.cumsum(length) - length, length)
     of, node, bit = _paths(model.letters, text)
     context, slots = np.full(len(text), 77, np.uint64), []
-    for k in range(ORDERS):
+    for k in range(1, LETTERS[-1] + 1):
         shifted = np.zeros(len(text), np.int64)
-        shifted[k + 1 :] = text[: max(0, len(text) - k - 1)]
-        context = (context + np.where(inside > k, shifted, 256).astype(np.uint64)) * _A
+        shifted[k:] = text[: max(0, len(text) - k)]
+        context = (context + np.where(inside >= k, shifted, 256).astype(np.uint64)) * _A
         context ^= context >> np.uint64(31)
-        slots.append(_slots((context + np.uint64(k))[of], node))
+        if k in LETTERS:
+            slots.append(_slots((context + np.uint64(k))[of], node))
     return np.repeat(rows, length)[of], bit, np.ones(len(of), np.int8), np.stack(slots)
 
 
-def _odds(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
-    return np.log((one + 0.3) / (zero + 0.3)).astype(np.float32)
-
+#: By a count, up to where they level off: its part of log odds, and how much it is (0 to 3).
+_LOG = np.log(np.arange(1 << 16) + 0.3).astype(np.float32)
+_LEVEL = np.minimum(3, (np.arange(1 << 16) > 0).astype(np.int32) + (np.arange(1 << 16) > 3) + (np.arange(1 << 16) > 30))
+_MOST = (1 << 16) - 1
 
-def _level(n: np.ndarray) -> np.ndarray:
-    return (n > 0).astype(np.int8) + (n > 3) + (n > 30)
 
+def _state(zero: np.ndarray, one: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log odds of a one, and level, from counts."""
+    return _LOG.take(np.minimum(one, _MOST)) - _LOG.take(np.minimum(zero, _MOST)), _LEVEL.take(np.minimum(zero + one, _MOST))
 
-def _gate(kind: np.ndarray, level: list[np.ndarray]) -> np.ndarray:
-    return ((kind * 4 + level[1]) * 4 + level[2]) * 2 + (level[3] > 0)
 
+def _gate(kind: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return (kind.astype(np.int32) * 4 + first) * 4 + second
 
-def _step(z: np.ndarray) -> np.ndarray:
-    return np.clip(np.rint(z * 2) + STEPS // 2, 0, STEPS - 1).astype(np.int64)
 
-
-def mixed(model: Model, kind: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Mixed log odds of a one, and gates."""
-    if model.fixed is None:  # once in each worker
-        pairs = model.seen.reshape(ORDERS, -1, 2).astype(np.float32)
-        model.fixed = _odds(pairs[..., 0], pairs[..., 1]), _level(pairs.sum(2)).astype(np.int8)
-    odds, levels = model.fixed
-    gate = _gate(kind, [levels[k][slots[k]] for k in range(ORDERS)]).astype(np.int64)
-    z = model.weights[gate, ORDERS]
+def _mix(weights: np.ndarray, gate: np.ndarray, odds: list[np.ndarray]) -> np.ndarray:
+    """weights: a contiguous row for each order and one for the bias."""
+    z = weights[ORDERS].take(gate)
     for k in range(ORDERS):
-        z = z + model.weights[gate, k] * odds[k][slots[k]]
-    return np.clip(z, -12, 12), gate
+        z += weights[k].take(gate) * odds[k]
+    return np.clip(z, -12, 12, out=z)
 
 
-def log10_bits(model: Model, kind: np.ndarray, bit: np.ndarray, slots: np.ndarray) -> np.ndarray:
-    """log10 of the probability of each bit, refined by the corrections."""
-    z, gate = mixed(model, kind, slots)
-    p = 0.5 / (1 + np.exp(-z)) + 0.5 * model.corrected[gate, _step(z)]
-    return np.log10(np.where(bit == 1, p, 1 - p))
+def _cell(gate: np.ndarray, z: np.ndarray) -> np.ndarray:
+    return gate * STEPS + np.clip(np.rint(z * 2) + STEPS // 2, 0, STEPS - 1).astype(np.int32)
 
 
-def _learn(model: Model, batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One pass of online mixing: weights, bits at each gate, and sums for the corrections. A bit's own count is left out."""
-    weights, squares = model.weights.copy(), np.full((GATES, ORDERS + 1), 1e-3)
-    met, sums = np.zeros(GATES), np.zeros((2, GATES * STEPS))
-    seen = model.seen
-    for batch in batches:
-        for _, bits, kinds, every in events(model, batch.column("text").to_pylist()):
-            for a in range(0, len(bits), BATCH):
-                bit, kind, slots = bits[a : a + BATCH].astype(np.int64), kinds[a : a + BATCH], every[:, a : a + BATCH]
-                odds, levels = [], []
-                for k in range(ORDERS):
-                    zero, one = (seen[k][2 * slots[k] + v].astype(np.float32) for v in (0, 1))
-                    zero, one = np.maximum(zero - (bit == 0), 0), np.maximum(one - (bit == 1), 0)
-                    odds.append(_odds(zero, one))
-                    levels.append(_level(zero + one))
-                gate = _gate(kind, levels).astype(np.int64)
-                z = weights[gate, ORDERS]
-                for k in range(ORDERS):
-                    z = z + weights[gate, k] * odds[k]
-                z = np.clip(z, -12, 12)
-                error = bit - 1 / (1 + np.exp(-z))
-                n = np.bincount(gate, minlength=GATES)
-                slope = np.stack([*(np.bincount(gate, error * o, GATES) for o in odds), np.bincount(gate, error, GATES)], 1) / np.maximum(n, 1)[:, None]
-                squares += slope**2
-                weights += 0.05 * slope / np.sqrt(squares)
-                met += n
-                at = gate * STEPS + _step(z)
-                sums[0] += np.bincount(at, minlength=GATES * STEPS)
-                sums[1] += np.bincount(at, bit, GATES * STEPS)
-    return weights, met, sums
+def log10_bits(model: Model, kind: np.ndarray, bit: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """log10 of the probability of each bit: mixed, then refined by the corrections."""
+    if model.fixed is None:  # once in each worker
+        state = [_state(*model.seen[k].astype(np.int64).reshape(-1, 2).T) for k in range(ORDERS)]
+        model.fixed = [np.ascontiguousarray(o) for o, _ in state], [x.astype(np.int8) for _, x in state], np.ascontiguousarray(model.weights.T, np.float32), model.corrected.ravel()
+    odds, levels, weights, corrected = model.fixed
+    gate = _gate(kind, levels[1].take(slots[1]), levels[2].take(slots[2]))
+    z = _mix(weights, gate, [odds[k].take(slots[k]) for k in range(ORDERS)])
+    p = corrected.take(_cell(gate, z)) + 1 / (1 + np.exp(-z))
+    return np.log10(np.where(bit == 1, p, 2 - p) * np.float32(0.5))
+
+
+class Learner:
+    """Counts, weights and corrections of one task."""
+
+    def __init__(self, weights: np.ndarray) -> None:
+        self.seen = np.zeros((ORDERS, 2 << BITS), np.uint32)
+        self.weights, self.squares = weights.copy(), np.full((GATES, ORDERS + 1), 1e-3)
+        self.met, self.sums = np.zeros(GATES), np.zeros((2, GATES * STEPS))
+
+    def learn(self, bits: Bits, times: np.ndarray | None = None) -> None:
+        """Predicts these bits, BATCH at a time, moves the weights, and counts them, `times` each."""
+        _, every, kinds, all_slots = bits
+        for a in range(0, len(every), BATCH):
+            bit, kind, slots = every[a : a + BATCH].astype(np.int32), kinds[a : a + BATCH], all_slots[:, a : a + BATCH]
+            n = None if times is None else times[a : a + BATCH]
+            odds, levels = [], []
+            for k in range(ORDERS):
+                at = 2 * slots[k]
+                o, x = _state(self.seen[k].take(at), self.seen[k].take(at + 1))
+                odds.append(o)
+                levels.append(x)
+            gate = _gate(kind, levels[1], levels[2])
+            z = _mix(np.ascontiguousarray(self.weights.T, np.float32), gate, odds)
+            error = bit - 1 / (1 + np.exp(-z))
+            if n is not None:
+                error = error * n
+            met = np.bincount(gate, n, GATES)
+            slope = np.stack([*(np.bincount(gate, error * o, GATES) for o in odds), np.bincount(gate, error, GATES)], 1) / np.maximum(met, 1)[:, None]
+            self.squares += slope**2
+            self.weights += 0.05 * slope / np.sqrt(self.squares)
+            self.met += met
+            cell = _cell(gate, z)
+            self.sums[0] += np.bincount(cell, n, GATES * STEPS)
+            self.sums[1] += np.bincount(cell, bit if n is None else bit * n, GATES * STEPS)
+            for k in range(ORDERS):
+                np.add.at(self.seen[k], 2 * slots[k] + bit, np.uint32(1) if n is None else n.astype(np.uint32))
+
+    def blocks(self) -> Iterator[pa.RecordBatch]:
+        """(block, counts) of what was counted, and the weights and corrections as block -1."""
+        blocks = self.seen.reshape(-1, 2 * BLOCK)
+        some = np.flatnonzero(blocks.any(1))
+        for a in range(0, len(some), 256):
+            part = some[a : a + 256]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([zlib.compress(blocks[i].tobytes(), 1) for i in part], pa.binary())], ["block", "counts"])
+        rest = np.concatenate([(self.weights * self.met[:, None]).ravel(), self.met, self.sums.ravel()])
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([zlib.compress(rest.tobytes(), 1)], pa.binary())], ["block", "counts"])
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,34 +279,22 @@ def word_counts(train: DataFrame) -> DataFrame:
     return train.select("text").mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _gather(shared) -> object:  # noqa: ANN001
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros((ORDERS, 2 << BITS), np.uint32)
-        for batch in batches:
-            for _, bit, _, slots in events(shared.value, batch.column("text").to_pylist()):
-                for k in range(ORDERS):
-                    seen[k] += np.bincount(2 * slots[k] + bit, minlength=2 << BITS).astype(np.uint32)
-        blocks = seen.reshape(-1, 2 * BLOCK)
-        some = np.flatnonzero(blocks.any(1))
-        for a in range(0, len(some), 256):
-            part = some[a : a + 256]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([zlib.compress(blocks[i].tobytes(), 1) for i in part], pa.binary())], ["block", "counts"])
-
-    return run
-
-
 def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of each block; of counts, pairs are scaled down together where they outgrow 16 bits."""
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for block, counts in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-            x = np.frombuffer(zlib.decompress(counts), np.uint32)
-            sums[block] = sums[block] + x if block in sums else x.astype(np.uint64)
-    # halved until they fit, as both counts of a slot matter by their ratio
+            x = np.frombuffer(zlib.decompress(counts), np.float64 if block < 0 else np.uint32)
+            if block not in sums:
+                sums[block] = x.astype(np.float64 if block < 0 else np.uint64)
+            else:
+                sums[block] += x
     for block, x in sums.items():
-        pairs = x.reshape(-1, 2)
-        scale = np.maximum(1.0, pairs.max(1, keepdims=True) / 65_000)
-        small = np.where((pairs > 0) & (scale > 1), np.maximum(1, np.rint(pairs / scale)), np.rint(pairs / scale)).astype(np.uint16)
-        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([zlib.compress(small.tobytes(), 1)], pa.binary())], ["block", "counts"])
+        if block >= 0:
+            pairs = x.reshape(-1, 2)
+            scale = np.maximum(1.0, pairs.max(1, keepdims=True) / 65_000)
+            x = np.where((pairs > 0) & (scale > 1), np.maximum(1, np.rint(pairs / scale)), np.rint(pairs / scale)).astype(np.uint16)
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([zlib.compress(x.tobytes(), 1)], pa.binary())], ["block", "counts"])
 
 
 def fit(train: DataFrame, counts: DataFrame) -> Model:
@@ -281,37 +311,56 @@ def fit(train: DataFrame, counts: DataFrame) -> Model:
     end = counts.where(F.length("word") == 0).select("word", "n")
     top = sorted(common.where(F.col("step") >= least).select("word", "n").union(end).collect(), key=lambda r: (-r.n, r.word))
     model = Model([bytes(r.word) for r in top], [r.n for r in top], total.n, total.kinds)
-    text = train.select("text")
-    parts = text.mapInArrow(_gather(spark.sparkContext.broadcast(model)), "block long, counts binary")
-    seen = model.seen.reshape(-1, 2 * BLOCK)
-    for r in parts.repartition(min(64, shuffle_partitions(spark)), "block").mapInArrow(_add, "block long, counts binary").collect():  # ORDERS << BITS slots
-        seen[r.block] = np.frombuffer(zlib.decompress(r.counts), np.uint16)
-    # every frequent word is spelled once as well, as each was unknown when it first came
-    for a in range(0, len(model.words), TOKENS // 4):
-        words = model.words[a : a + TOKENS // 4]
-        _, bit, _, slots = spelling(model, words, np.zeros(len(words), np.int64))
-        for k in range(ORDERS):
-            more = np.bincount(2 * slots[k] + bit, minlength=2 << BITS)
-            model.seen[k] = np.minimum(model.seen[k] + more, 65_000).astype(np.uint16)
     shared = spark.sparkContext.broadcast(model)
 
-    def mix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, met, sums = _learn(shared.value, batches)
-        values = np.concatenate([(weights * met[:, None]).ravel(), met, sums.ravel()])
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values))), pa.array(values)], ["at", "v"])
+    def of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        learner = Learner(model.weights)
+        for batch in batches:
+            for rows, held in _groups(batch.column("text").to_pylist()):
+                for bits in events(model, rows, held):
+                    learner.learn(bits)
+        yield from learner.blocks()
 
+    def of_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Unknown words by their counts; frequent ones once, as each was unknown when it first came."""
+        model = shared.value
+        learner = Learner(model.weights)
+        for batch in batches:
+            words, n = batch.column("word").to_pylist(), batch.column("n").to_numpy()
+            for a in range(0, len(words), TOKENS // 4):
+                part = words[a : a + TOKENS // 4]
+                times = np.where([w in model.ids for w in part], 1, n[a : a + TOKENS // 4])
+                bits = spelling(model, part, np.arange(len(part)))
+                learner.learn(bits, times[bits[0]])
+        yield from learner.blocks()
+
+    kind = "block long, counts binary"
+    parts = train.select("text").mapInArrow(of_texts, kind).union(counts.where(F.length("word") > 0).select("word", "n").mapInArrow(of_words, kind))
+    seen, values = model.seen.reshape(-1, 2 * BLOCK), np.zeros(GATES * (ORDERS + 1) + GATES + 2 * GATES * STEPS)
+    for r in parts.repartition(min(64, shuffle_partitions(spark)), "block").mapInArrow(_add, kind).collect():  # ORDERS << BITS slots
+        if r.block < 0:
+            values = np.frombuffer(zlib.decompress(r.counts), np.float64)
+        else:
+            seen[r.block] = np.frombuffer(zlib.decompress(r.counts), np.uint16)
     size = GATES * (ORDERS + 1)
-    values = np.zeros(size + GATES + 2 * GATES * STEPS)
-    for r in text.mapInArrow(mix, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).collect():  # a few thousand numbers
-        values[r["at"]] = r.v
     met = values[size : size + GATES]
     model.weights[met > 0] = (values[:size].reshape(GATES, -1) / np.maximum(met, 1)[:, None])[met > 0]
     n, ones = values[size + GATES :].reshape(2, GATES, STEPS)
     prior = 1 / (1 + np.exp(-(np.arange(STEPS) - STEPS // 2) / 2))
-    model.corrected = (ones + 20 * prior) / (n + 20)
+    model.corrected = ((ones + 20 * prior) / (n + 20)).astype(np.float32)
     return model
 
 
+def spelled(model: Model, words: list[bytes]) -> np.ndarray:
+    """log10 of the probability of each word's spelling."""
+    out = np.zeros(len(words))
+    for a in range(0, len(words), TOKENS // 4):
+        row, bit, kind, slots = spelling(model, words[a : a + TOKENS // 4], np.arange(a, min(a + TOKENS // 4, len(words))))
+        out += np.bincount(row, log10_bits(model, kind, bit, slots), len(words))
+    return out
+
+
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte of each row of docs.
 
@@ -328,33 +377,39 @@ def score(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        base = [model.base(c) for c in model.counts]
+        base = np.array([*(model.base(c) for c in model.counts), 0.0])
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            total = np.zeros(len(texts))
-            for row, bit, kind, slots in events(model, texts):
-                total += np.bincount(row, log10_bits(model, kind, bit, slots), len(texts))
-            n, known, sums, rare = [], [], [], []
-            for text in texts:
-                words = tokens(text)
-                got = [model.ids.get(w) for w in words]
-                n.append(len(words))
-                known.append(len(got) - got.count(None))
-                sums.append(float(sum(base[i] for i in got if i is not None)))
-                rare.append([{"word": w, "n": c} for w, c in Counter(w for w, i in zip(words, got, strict=True) if i is None).items()])
+            total, sums = np.zeros((2, len(texts)))
+            n, known, rare = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), []
+            for rows, held in _groups(texts):
+                for row, bit, kind, slots in events(model, rows, held):
+                    total += np.bincount(row, log10_bits(model, kind, bit, slots), len(texts))
+                for r, words in zip(rows, held, strict=True):
+                    got = np.array([model.ids.get(w, model.escape) for w in words])
+                    n[r], known[r], sums[r] = len(words), (got != model.escape).sum(), base[got].sum()
+                    rare.append([{"word": w, "n": c} for w, c in Counter(words[i] for i in np.flatnonzero(got == model.escape).tolist()).items()])
             size = [len(x.encode()) if x else 0 for x in texts]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), *(pa.array(x, pa.int64()) for x in (n, known, size)), pa.array(sums), pa.array(total), pa.array(rare, pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])))],
-                names=["doc_id", "held_out", "n_tokens", "known", "n_bytes", "base", "score", "rare"],
+                names=["doc_id", "held_out", "n_tokens", "known", "n_bytes", "base", "paths", "rare"],
             )
 
-    kind = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, known long, n_bytes long, base double, score double, rare array<struct<word:binary,n:bigint>>"
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(spelled(shared.value, batch.column("word").to_pylist()))], names=["word", "n", "spelling"])
+
+    kind = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, known long, n_bytes long, base double, paths double, rare array<struct<word:binary,n:bigint>>"
     rows = materialize(docs.select("doc_id", held_out, "text").mapInArrow(run, kind).withColumn("row", F.monotonically_increasing_id()), "scored")
     rare = rows.select("row", F.explode("rare").alias("x")).select("row", "x.word", F.col("x.n").alias("times"))
-    c = F.coalesce("n", F.lit(0))
+    # every word that lacks a path is spelled once, whether the training texts have it or not
+    new = rare.select("word").distinct().join(counts, "word", "left").select("word", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+    lexicon = materialize(new.mapInArrow(spell, "word binary, n long, spelling double"), "spellings")
     bottom = float(model.total + 0.1 * (model.kinds + 1))
-    more = rare.join(counts, "word", "left").groupBy("row").agg(F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("more"), F.sum(F.col("times") * F.log10((c + 0.1) / bottom)).alias("rest"))
-    return rows.drop("rare").join(more, "row", "left").select(
+    times = F.col("times")
+    more = rare.join(lexicon, "word").groupBy("row").agg(F.sum(F.when(F.col("n") > 0, times).otherwise(0)).alias("more"), F.sum(times * F.log10((F.col("n") + 0.1) / bottom)).alias("rest"), F.sum(times * F.col("spelling")).alias("spelt"))
+    rows = rows.join(more, "row", "left").withColumn("score", F.col("paths") + F.coalesce("spelt", F.lit(0.0)))
+    return rows.select(
         "doc_id",
         "held_out",
         "n_tokens",
