@@ -270,6 +270,13 @@ def token_entropy(spark, d):
     return statistics.token_entropy(top, statistics.char_entropy(docs(spark, d))).select("token", F.round("entropy", 6).alias("entropy"))
 
 
+@query(f"""WITH {_WORDS}, {_CHARS}
+SELECT w AS token, round(avg(-p * log2(p)), 6) AS entropy FROM (SELECT w, unnest(string_split(w, '')) AS c FROM w) JOIN e USING (c) GROUP BY w""")
+def token_entropy_all(spark, d):
+    words = statistics.word_counts(docs(spark, d)).select(F.col("word").alias("token"))
+    return statistics.token_entropy(words, statistics.char_entropy(docs(spark, d))).select("token", F.round("entropy", 6).alias("entropy"))
+
+
 _NEAR = """s AS (SELECT list_transform(range(1, length(w)), lambda i: w[i:i+1]) AS p FROM w WHERE length(w) > 2),
 x AS (SELECT DISTINCT p[i] AS a, p[i + k] AS b FROM (SELECT p, unnest(range(1, len(p))) AS i FROM s), (VALUES (1), (2)) t(k) WHERE i + k <= len(p)),
 dv AS (SELECT a, count(DISTINCT b)::BIGINT AS n FROM (SELECT a, b FROM x UNION SELECT b, a FROM x) GROUP BY a)"""
