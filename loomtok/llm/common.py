@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -23,23 +24,26 @@ def ascii_lower(c: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of our own only where the session names none (tests)."""
+    """The cluster's shared folder. Where the session names none: a temporary one in local mode, else an error, since a folder of one machine would lose rows."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    named = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not at and named.isDefined():
+        at = named.get()
     if not at:
-        at = spark.sparkContext._jsc.sc().getCheckpointDir()
-        at = at.get() if at.isDefined() else f"file://{tempfile.mkdtemp(prefix='loomtok-')}"
-        spark.conf.set("spark.checkpoint.dir", at)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = f"file://{tempfile.gettempdir()}/loomtok-{os.getpid()}"
     return at.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Writes df as a table in the shared folder and reads it again: cuts lineage, survives lost executors.
 
     All tables of an application are below loomtok/<its id>, to be removed with it.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loomtok/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,421 +1,499 @@
 """Scoring by logistic mixing of hashed-context bit predictors.
 
-A text is its tokens (words and one end). A frequent token is a path through a
-binary tree, any other an escape and its bytes through a second tree, so that a
-text is a row of bits. Three predictors, the counts of ones and zeros in tables
-of hashed contexts of rising order, say how likely each bit is; their log odds
-are mixed with weights that a gate picks by how much the contexts have seen,
-learned online, and a last table of adaptive corrections refines the result.
-The product over all bits is the probability of the text.
-
-Counts, weights and corrections come from all training texts, in one pass: each
-task predicts a stretch of bits from what it has seen so far, learns from the
-errors, and then counts them. The counts of tasks meet block by block, weights
-and corrections are averaged. How a word is spelled depends on the word alone,
-so spellings are learned from the table of words, each with its count, and a
-word's spelling is scored once. The tables have a fixed size, whatever the
-corpus.
+A text is its tokens, words and one end. Contexts are the three, two and one
+words before a token, hashed. What a context predicts is the word that holds
+more than half of what followed it in the training texts, so that a token is
+up to three bits: is it what the three words predict, what the two, what the
+one? A context never seen predicts nothing and has no bit. Each bit is told by
+three predictors, which take how often each context was seen to a probability
+kept for that state; their log odds are mixed with weights that a gate picks by
+how much the bit's own context has seen, learned online, and a last table of
+corrections refines the result. A token that no context predicts is told by
+its counts after the contexts, each order backing the one above, down to the
+spelling of the word, itself a row of mixed bits (letters.py). The product over
+all is the probability of the text, in bits per byte as well.
+
+Nothing has a fixed size but the tables of states: every one-, two-, three- and
+four-word sequence of all training texts is counted, as a key whose width
+follows the corpus. Texts are dealt in chunks. A chunk sends each range of keys
+the sorted keys it has, as one packed value, and gets their counts over all
+chunks back in the same order; so a key travels once a chunk however often it
+occurs, hot ones are not felt, and the sizes of chunks and ranges grow as the
+square root of the corpus, which holds the number of values sent in proportion
+to it. What is predicted is never counted already: from the counts that a
+training token meets its own occurrence is taken out, in learning and in its
+score, so that training texts are told as others are and one that occurs twice
+differs from one that occurs once.
 """
 
 from __future__ import annotations
 
-import heapq
-import zlib
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from loomtok.llm import letters
 from loomtok.llm.common import crc_mod, materialize, shuffle_partitions
 
 FOLDS = 10
-#: Tokens with a path of their own, and how often they occur at least; slots of a context's table, as bits; slots of a block of counts that tasks exchange.
-VOCABULARY, COMMON, BITS, BLOCK = 65_536, 3, 20, 1 << 12
-ORDERS, GATES, STEPS = 3, 32, 33
-#: How many letters before a letter the contexts of a spelling hold.
-LETTERS = (2, 3, 5)
-#: Tokens looked at together, and bits to an update of the weights.
-TOKENS, BATCH = 20_000, 1 << 16
-_A = np.uint64(0x9E3779B97F4A7C15)
-_B = np.uint64(0xC2B2AE3D27D4EB4F)
-
-
-def tokens(text: str | None) -> list[bytes]:
-    """The words with A-Z in lower case, and the end, which is empty."""
-    return [*text.encode().lower().split(), b""] if text else [b""]
-
-
-def huffman(weights: list[float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Where each symbol's path starts (one more entry than symbols), and the inner nodes and bits along the paths."""
-    n = len(weights)
-    heap = [(w, i) for i, w in enumerate(weights)]
-    heapq.heapify(heap)
-    up = [(0, 0)] * (2 * n - 1)
-    for node in range(n, 2 * n - 1):
-        (a, x), (b, y) = heapq.heappop(heap), heapq.heappop(heap)
-        up[x], up[y] = (node, 0), (node, 1)
-        heapq.heappush(heap, (a + b, node))
-    starts, nodes, bits = [0], [], []
-    for i in range(n):
-        path = []
-        while i != 2 * n - 2:
-            i, bit = up[i]
-            path.append((i - n, bit))
-        nodes += [x for x, _ in reversed(path)]
-        bits += [b for _, b in reversed(path)]
-        starts.append(len(nodes))
-    return np.array(starts), np.array(nodes, np.int64), np.array(bits, np.int8)
-
-
-@dataclass
-class Model:
-    """The vocabulary, and, once gathered, counts, mixing weights and corrections."""
-
-    words: list[bytes]
-    counts: list[int]
-    total: int
-    kinds: int
-    ids: dict[bytes, int] = field(init=False)
-
-    def __post_init__(self) -> None:
-        self.ids = {w: i for i, w in enumerate(self.words)}
-        self.escape = len(self.words)
-        self.tree = huffman([*self.counts, max(1, self.total - sum(self.counts))] if self.words else [1, 1])
-        letters = np.ones(256)
-        for w in self.words:
-            np.add.at(letters, np.frombuffer(w + b" ", np.uint8), 1)
-        self.letters = huffman(letters.tolist())
-        self.corrected = np.full((GATES, STEPS), 0.5, np.float32)
-        self.seen = np.zeros((ORDERS, 2 << BITS), np.uint16)
-        self.weights = np.tile(np.array([0.3] * ORDERS + [0.0]), (GATES, 1))
-        self.fixed = None
-
-    def base(self, count: float) -> float:
-        return float(np.log10((count + 0.1) / (self.total + 0.1 * (self.kinds + 1))))
-
-
-def _paths(tree: tuple[np.ndarray, np.ndarray, np.ndarray], symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For every bit of the symbols: which symbol it is of, its node and its value."""
-    starts, nodes, bits = tree
-    length = starts[symbols + 1] - starts[symbols]
-    of = np.repeat(np.arange(len(symbols)), length)
-    at = np.arange(len(of)) - np.repeat(np.cumsum(length) - length, length) + np.repeat(starts[symbols], length)
-    return of, nodes[at], bits[at]
-
-
-def _slots(context: np.ndarray, node: np.ndarray) -> np.ndarray:
-    h = node.astype(np.uint64) * _B
-    h += context
-    h *= _A
-    h >>= np.uint64(64 - BITS)
-    return h.astype(np.int32)
-
-
-#: No words stand before the first.
-_NONE = [-1] * (ORDERS - 1)
-Bits = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
-
-
-def _groups(texts: list[str | None]) -> Iterator[tuple[list[int], list[list[bytes]]]]:
-    """Rows and tokens of texts, about TOKENS at a time; a text stays in one piece."""
-    rows, held, size = [], [], 0
-    for n, text in enumerate(texts):
-        rows.append(n)
-        held.append(tokens(text))
-        size += len(held[-1])
-        if size >= TOKENS:
-            yield rows, held
-            rows, held, size = [], [], 0
-    if rows:
-        yield rows, held
-
-
-def events(model: Model, rows: list[int], held: list[list[bytes]]) -> Iterator[Bits]:
-    """Row of the text, value, kind (0) and slots of every bit of the tokens' paths; unknown words end with the escape."""
-    get, escape = model.ids.get, model.escape
-    ids: list[int] = []
-    for words in held:
-        ids += _NONE
-        ids += [get(x, escape) for x in words]
-    w = np.array(ids, np.int64)
-    row = np.repeat(np.array(rows), [len(x) + len(_NONE) for x in held])
-    before = [np.concatenate([np.full(k, -1), w[:-k]]).astype(np.uint64) + np.uint64(3) for k in range(1, ORDERS)]
-    real = np.flatnonzero(w >= 0)
-    for a in range(0, len(real), TOKENS):
-        at = real[a : a + TOKENS]
-        of, node, bit = _paths(model.tree, w[at])
-        context, slots = np.zeros(len(at), np.uint64), []
+#: Bytes of text in a chunk and behind a range, at least, and what they grow with.
+CHUNK, RANGE, GROWTH = 2_000_000, 1_000_000, 400
+#: Bits of a key beyond those that count the bytes of the corpus: at most one key in hundreds meets another.
+SPARE = 8
+#: Words before a token that are looked at; kinds of words in a chunk's table.
+ORDERS = 3
+#: Counts from which a context is in the next state; 0 is never seen.
+STATES = np.array([1, 2, 3, 4, 6, 10, 16, 32, 128, 1024])
+LEVELS = len(STATES) + 1
+CELLS, STEPS = LEVELS**ORDERS, 33
+#: log10 of the probability that a word the counts don't tell is the end.
+END = -3.0
+_STATE = np.searchsorted(STATES, np.arange(STATES[-1] + 1), "right")
+_START, _END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
+_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+#: Numbers of a range's tally: for words and the three orders, occurrences and kinds by bits of the count; then letters.
+_TALLY = 2 * (ORDERS + 1) * 64
+
+
+@dataclass(frozen=True)
+class Shape:
+    """What follows the size of the corpus."""
+
+    bits: int
+    ranges: int
+
+    @classmethod
+    def of(cls, size: int) -> Shape:
+        return cls(min(60, max(24, int(size).bit_length() + SPARE)), -(-size // max(RANGE, isqrt(GROWTH * size))) or 1)
+
+    def edges(self, bits: int) -> np.ndarray:
+        """The first key of each range but the first, of keys of so many bits."""
+        return np.array([(i << bits) // self.ranges for i in range(1, self.ranges)], np.uint64)
+
+
+def pack(x: np.ndarray) -> bytes:
+    """Whole numbers, byte by byte of their places, as wide as the largest needs."""
+    width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + np.ascontiguousarray(x, "<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def unpack(b: bytes) -> np.ndarray:
+    places = np.frombuffer(b, np.uint8, offset=1).reshape(b[0], -1)
+    out = np.zeros((places.shape[1], 8), np.uint8)
+    out[:, : b[0]] = places.T
+    return out.view("<u8").ravel()
+
+
+def pack_sorted(x: np.ndarray) -> bytes:
+    return int(x[0]).to_bytes(8, "little") + pack(np.diff(x))
+
+
+def unpack_sorted(b: bytes) -> np.ndarray:
+    return np.cumsum(np.concatenate([np.frombuffer(b, "<u8", 1), unpack(b[8:])]), dtype=np.uint64)
+
+
+def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    x = (a ^ (b * _B)) * _A
+    x ^= x >> np.uint64(31)
+    x *= _B
+    return x
+
+
+class Chunk:
+    """The tokens of some texts: each text's start, words and end in a row."""
+
+    def __init__(self, texts: pa.Array) -> None:
+        """texts: strings without nulls."""
+        parts = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        words = parts.flatten()
+        some = pc.greater(pc.binary_length(words), 0)
+        place = np.concatenate([[0], np.cumsum(some.to_numpy(zero_copy_only=False))])
+        ends = place[np.cumsum(pc.list_value_length(parts).to_numpy(zero_copy_only=False))] if len(texts) else place[:0]
+        self.lengths = np.diff(ends, prepend=0)
+        coded = words.filter(some).dictionary_encode()
+        kinds = coded.dictionary.cast(pa.binary()).to_pylist()
+        hashes = np.array([xxhash.xxh3_64_intdigest(x) for x in kinds], np.uint64)
+        order = np.argsort(hashes, kind="stable")
+        #: Distinct words by hash, and the place there of each word of the texts.
+        self.words, self.hashes = [kinds[i] for i in order.tolist()], hashes[order]
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.ids = rank[coded.indices.to_numpy()]
+        size = self.lengths + 2
+        self.ends = np.cumsum(size) - 1
+        self.starts = self.ends - size + 1
+        self.text = np.repeat(np.arange(len(texts)), size)
+        self.body = np.arange(len(self.ids)) + 2 * np.repeat(np.arange(len(texts)), self.lengths) + 1
+
+    def spread(self, start: float, of_words: np.ndarray, end: float) -> np.ndarray:
+        """A value for every place from those of starts, of the distinct words and of ends."""
+        out = np.empty(len(self.text), of_words.dtype)
+        out[self.body] = of_words[self.ids]
+        out[self.starts], out[self.ends] = start, end
+        return out
+
+    def keys(self, bits: int) -> np.ndarray:
+        """For each order, a row: the key of the sequence that ends at each place, its order in the two lowest bits."""
+        words = self.spread(_START, self.hashes, _END)
+        out, sofar, before = np.empty((ORDERS, len(words)), np.uint64), words, words
         for k in range(ORDERS):
-            slots.append(_slots(context[of], node))
-            if k < ORDERS - 1:
-                context = (context + before[k][at] + np.uint64(k + 1)) * _A
-                context ^= context >> np.uint64(31)
-        yield row[at][of], bit, np.zeros(len(of), np.int8), np.stack(slots)
-
+            before = np.concatenate([before[:1], before[:-1]])
+            before[self.starts] = _START
+            sofar = _mixed(sofar, before)
+            out[k] = (sofar >> np.uint64(64 - bits)) << np.uint64(2) | np.uint64(k)
+        return out
 
-def spelling(model: Model, words: list[bytes], rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The bits of words that are spelled, each closed by a blank, in contexts of the letters before."""
-    text = np.frombuffer(b"".join(x + b" " for x in words), np.uint8).astype(np.int64)
-    length = np.array([len(x) + 1 for x in words])
-    inside = np.arange(len(text)) - np.repeat(np.cumsum(length) - length, length)
-    of, node, bit = _paths(model.letters, text)
-    context, slots = np.full(len(text), 77, np.uint64), []
-    for k in range(1, LETTERS[-1] + 1):
-        shifted = np.zeros(len(text), np.int64)
-        shifted[k:] = text[: max(0, len(text) - k)]
-        context = (context + np.where(inside >= k, shifted, 256).astype(np.uint64)) * _A
-        context ^= context >> np.uint64(31)
-        if k in LETTERS:
-            slots.append(_slots((context + np.uint64(k))[of], node))
-    return np.repeat(rows, length)[of], bit, np.ones(len(of), np.int8), np.stack(slots)
 
+_SENT = T.StructType().add("kind", "integer").add("part", "integer").add("chunk", "long").add("a", "binary").add("b", "binary")
 
-#: By a count, up to where they level off: its part of log odds, and how much it is (0 to 3).
-_LOG = np.log(np.arange(1 << 16) + 0.3).astype(np.float32)
-_LEVEL = np.minimum(3, (np.arange(1 << 16) > 0).astype(np.int32) + (np.arange(1 << 16) > 3) + (np.arange(1 << 16) > 30))
-_MOST = (1 << 16) - 1
 
+def _batch(rows: list[tuple], schema: T.StructType) -> pa.RecordBatch:
+    types = {"integer": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array": pa.list_(pa.float64())}
+    return pa.RecordBatch.from_arrays([pa.array(c, types[f.dataType.typeName()]) for c, f in zip(zip(*rows, strict=True) if rows else [()] * len(schema), schema, strict=True)], schema.names)
 
-def _state(zero: np.ndarray, one: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log odds of a one, and level, from counts."""
-    return _LOG.take(np.minimum(one, _MOST)) - _LOG.take(np.minimum(zero, _MOST)), _LEVEL.take(np.minimum(zero + one, _MOST))
 
+def _deal(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """chunk, bytes and texts of each chunk: rows in a row, of `size` bytes of text or of the text that goes beyond."""
+    at = TaskContext.get().partitionId() << 32
+    for batch in batches:
+        length = pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False)
+        of = (np.cumsum(length + 1) - length - 1) // size
+        first = np.concatenate([[0], np.flatnonzero(np.diff(of)) + 1, [len(of)]]) if len(of) else np.zeros(1, int)
+        if len(first) < 2:
+            continue
+        held = pa.StructArray.from_arrays(batch.columns, batch.schema.names)
+        sums = np.add.reduceat(length.astype(np.int64) + 2, first[:-1])
+        yield pa.RecordBatch.from_arrays([pa.array(at + np.arange(len(first) - 1)), pa.array(sums), pa.ListArray.from_arrays(pa.array(first, pa.int32()), held)], ["chunk", "bytes", "texts"])
+        at += len(first) - 1
+
+
+def _send(shape: Shape, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words and keys of each chunk, with their counts in training texts, to their ranges."""
+    word_edges, key_edges = shape.edges(64), shape.edges(shape.bits + 2)
+    for batch in batches:
+        for number, texts in zip(batch.column("chunk").to_pylist(), batch.column("texts"), strict=True):
+            c, train = Chunk(texts.values.field("text")), ~texts.values.field("held_out").to_numpy(zero_copy_only=False)
+            learned = np.repeat(train, c.lengths)
+            counts = np.bincount(c.ids[learned], minlength=len(c.words)).astype(np.uint64)
+            rows, cuts = [], [0, *np.searchsorted(c.hashes, word_edges).tolist(), len(c.words)]
+            for part, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                if b > a:
+                    rows.append((0, part, number, b" ".join(c.words[a:b]), pack(counts[a:b])))
+            keys = c.keys(shape.bits) << np.uint64(1) | train[c.text].astype(np.uint64)
+            keys = np.sort(keys.ravel())
+            kinds = keys >> np.uint64(1)
+            first = np.flatnonzero(np.concatenate([[True], kinds[1:] != kinds[:-1]]))
+            counts, kinds = np.add.reduceat(keys & np.uint64(1), first), kinds[first]
+            cuts = [0, *np.searchsorted(kinds, key_edges).tolist(), len(kinds)]
+            for part, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                if b > a:
+                    rows.append((1, part, number, pack_sorted(kinds[a:b]), pack(counts[a:b])))
+            yield _batch(rows, _SENT)
+
+
+_BACK = T.StructType().add("kind", "integer").add("part", "integer").add("chunk", "long").add("a", "binary").add("b", "binary").add("tally", T.ArrayType(T.DoubleType()))
+
+
+def _by_bits(n: np.ndarray) -> np.ndarray:
+    """Occurrences, and kinds, by the bits of the count."""
+    n = n[n > 0].astype(np.float64)
+    bits = np.frexp(n)[1]
+    return np.concatenate([np.bincount(bits, n, 64)[:64], np.bincount(bits, minlength=64)[:64]])
+
+
+def _words_of_range(rows: list[tuple]) -> Iterator[tuple]:
+    """The range's distinct words with their counts, first, and for each chunk where its words are among them."""
+    ids: dict[bytes, int] = {}
+    found = []
+    for _, words, counts in rows:
+        words = words.split(b" ")
+        found.append((np.fromiter((ids.setdefault(x, len(ids)) for x in words), np.uint64, len(words)), unpack(counts)))
+    total = np.zeros(len(ids), np.uint64)
+    for at, n in found:
+        total[at.astype(np.int64)] += n  # a chunk has a word once
+    words, tally = list(ids), np.zeros(_TALLY + 256)
+    tally[:128] = _by_bits(total)
+    known = np.frombuffer(b"".join(w for w, n in zip(words, total.tolist(), strict=True) if n), np.uint8)
+    tally[_TALLY:] = np.bincount(known, minlength=256)
+    yield -1, b" ".join(words), pack(total), tally
+    for (chunk, *_), (at, _) in zip(rows, found, strict=True):
+        yield chunk, pack(at), None, None
+
+
+def _keys_of_range(rows: list[tuple]) -> Iterator[tuple]:
+    """For each chunk the counts over all chunks of the keys it sent."""
+    keys = [unpack_sorted(a) for _, a, _ in rows]
+    every, n = np.concatenate(keys), np.concatenate([unpack(b) for *_, b in rows])
+    order = np.argsort(every, kind="stable")  # runs that are sorted
+    kinds = every[order]
+    new = np.concatenate([[True], kinds[1:] != kinds[:-1]])
+    first = np.flatnonzero(new)
+    sums, total = np.add.reduceat(n[order], first), np.empty(len(every), np.uint64)
+    total[order] = sums[np.cumsum(new) - 1]
+    tally, tag = np.zeros(_TALLY + 256), kinds[first] & np.uint64(3)
+    for k in range(ORDERS):
+        tally[128 * (k + 1) : 128 * (k + 2)] = _by_bits(sums[tag == k])
+    yield -1, None, None, tally
+    for (chunk, *_), x in zip(rows, np.split(total, np.cumsum([len(k) for k in keys])[:-1]), strict=True):
+        yield chunk, pack(x), None, None
 
-def _gate(kind: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    return (kind.astype(np.int32) * 4 + first) * 4 + second
 
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by kind and part, what goes back from each range."""
 
-def _mix(weights: np.ndarray, gate: np.ndarray, odds: list[np.ndarray]) -> np.ndarray:
-    """weights: a contiguous row for each order and one for the bias."""
-    z = weights[ORDERS].take(gate)
-    for k in range(ORDERS):
-        z += weights[k].take(gate) * odds[k]
-    return np.clip(z, -12, 12, out=z)
-
-
-def _cell(gate: np.ndarray, z: np.ndarray) -> np.ndarray:
-    return gate * STEPS + np.clip(np.rint(z * 2) + STEPS // 2, 0, STEPS - 1).astype(np.int32)
-
-
-def log10_bits(model: Model, kind: np.ndarray, bit: np.ndarray, slots: np.ndarray) -> np.ndarray:
-    """log10 of the probability of each bit: mixed, then refined by the corrections."""
-    if model.fixed is None:  # once in each worker
-        state = [_state(*model.seen[k].astype(np.int64).reshape(-1, 2).T) for k in range(ORDERS)]
-        model.fixed = [np.ascontiguousarray(o) for o, _ in state], [x.astype(np.int8) for _, x in state], np.ascontiguousarray(model.weights.T, np.float32), model.corrected.ravel()
-    odds, levels, weights, corrected = model.fixed
-    gate = _gate(kind, levels[1].take(slots[1]), levels[2].take(slots[2]))
-    z = _mix(weights, gate, [odds[k].take(slots[k]) for k in range(ORDERS)])
-    p = corrected.take(_cell(gate, z)) + 1 / (1 + np.exp(-z))
-    return np.log10(np.where(bit == 1, p, 2 - p) * np.float32(0.5))
-
-
-class Learner:
-    """Counts, weights and corrections of one task."""
-
-    def __init__(self, weights: np.ndarray) -> None:
-        self.seen = np.zeros((ORDERS, 2 << BITS), np.uint32)
-        self.weights, self.squares = weights.copy(), np.full((GATES, ORDERS + 1), 1e-3)
-        self.met, self.sums = np.zeros(GATES), np.zeros((2, GATES * STEPS))
-
-    def learn(self, bits: Bits, times: np.ndarray | None = None) -> None:
-        """Predicts these bits, BATCH at a time, moves the weights, and counts them, `times` each."""
-        _, every, kinds, all_slots = bits
-        for a in range(0, len(every), BATCH):
-            bit, kind, slots = every[a : a + BATCH].astype(np.int32), kinds[a : a + BATCH], all_slots[:, a : a + BATCH]
-            n = None if times is None else times[a : a + BATCH]
-            odds, levels = [], []
-            for k in range(ORDERS):
-                at = 2 * slots[k]
-                o, x = _state(self.seen[k].take(at), self.seen[k].take(at + 1))
-                odds.append(o)
-                levels.append(x)
-            gate = _gate(kind, levels[1], levels[2])
-            z = _mix(np.ascontiguousarray(self.weights.T, np.float32), gate, odds)
-            error = bit - 1 / (1 + np.exp(-z))
-            if n is not None:
-                error = error * n
-            met = np.bincount(gate, n, GATES)
-            slope = np.stack([*(np.bincount(gate, error * o, GATES) for o in odds), np.bincount(gate, error, GATES)], 1) / np.maximum(met, 1)[:, None]
-            self.squares += slope**2
-            self.weights += 0.05 * slope / np.sqrt(self.squares)
-            self.met += met
-            cell = _cell(gate, z)
-            self.sums[0] += np.bincount(cell, n, GATES * STEPS)
-            self.sums[1] += np.bincount(cell, bit if n is None else bit * n, GATES * STEPS)
-            for k in range(ORDERS):
-                np.add.at(self.seen[k], 2 * slots[k] + bit, np.uint32(1) if n is None else n.astype(np.uint32))
-
-    def blocks(self) -> Iterator[pa.RecordBatch]:
-        """(block, counts) of what was counted, and the weights and corrections as block -1."""
-        blocks = self.seen.reshape(-1, 2 * BLOCK)
-        some = np.flatnonzero(blocks.any(1))
-        for a in range(0, len(some), 256):
-            part = some[a : a + 256]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([zlib.compress(blocks[i].tobytes(), 1) for i in part], pa.binary())], ["block", "counts"])
-        rest = np.concatenate([(self.weights * self.met[:, None]).ravel(), self.met, self.sums.ravel()])
-        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([zlib.compress(rest.tobytes(), 1)], pa.binary())], ["block", "counts"])
-
-
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: Counter = Counter()
-
-    def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+    def out(held: list[tuple], kind: int, part: int) -> Iterator[pa.RecordBatch]:
+        rows = []
+        for chunk, a, b, tally in (_keys_of_range if kind else _words_of_range)(held):
+            rows.append((kind, part, chunk, a, b, tally))
+            if len(rows) >= 1000:
+                yield _batch(rows, _BACK)
+                rows = []
+        yield _batch(rows, _BACK)
 
+    held, at = [], None
     for batch in batches:
-        for text in batch.column("text").to_pylist():
-            seen.update(tokens(text))
-            if len(seen) > 200_000:
-                yield out()
-                seen.clear()
-    yield out()
+        for kind, part, *row in zip(*(batch.column(c).to_pylist() for c in _SENT.names), strict=True):
+            if (kind, part) != at:
+                if held:
+                    yield from out(held, *at)
+                held, at = [], (kind, part)
+            held.append(row)
+    if held:
+        yield from out(held, *at)
 
 
-def word_counts(train: DataFrame) -> DataFrame:
-    return train.select("text").mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+_SPELT = T.StructType().add("kind", "integer").add("part", "integer").add("chunk", "long").add("a", "binary").add("b", "binary")
 
 
-def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of each block; of counts, pairs are scaled down together where they outgrow 16 bits."""
-    sums: dict[int, np.ndarray] = {}
+def _spell(model: letters.Letters, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each chunk counts and spellings of its words; a range's own row comes first."""
+    total = spelling = None
     for batch in batches:
-        for block, counts in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-            x = np.frombuffer(zlib.decompress(counts), np.float64 if block < 0 else np.uint32)
-            if block not in sums:
-                sums[block] = x.astype(np.float64 if block < 0 else np.uint64)
+        rows = []
+        for part, chunk, a, b in zip(*(batch.column(c).to_pylist() for c in ("part", "chunk", "a", "b")), strict=True):
+            if chunk < 0:
+                total, spelling = unpack(b), model.spelled(a.split(b" ")).astype("<f4")
             else:
-                sums[block] += x
-    for block, x in sums.items():
-        if block >= 0:
-            pairs = x.reshape(-1, 2)
-            scale = np.maximum(1.0, pairs.max(1, keepdims=True) / 65_000)
-            x = np.where((pairs > 0) & (scale > 1), np.maximum(1, np.rint(pairs / scale)), np.rint(pairs / scale)).astype(np.uint16)
-        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([zlib.compress(x.tobytes(), 1)], pa.binary())], ["block", "counts"])
-
-
-def fit(train: DataFrame, counts: DataFrame) -> Model:
-    """The model of all training texts; counts is word_counts(train), materialized."""
-    spark = train.sparkSession
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("kinds")).first()
-    # rarer words teach the second tree how unknown ones are spelled; the end always has a path
-    common = counts.where((F.col("n") >= COMMON) & (F.length("word") > 0)).withColumn("step", F.floor(F.log2("n") * 16).cast("int"))
-    room, least = VOCABULARY - 1, 1 << 20
-    for r in common.groupBy("step").count().orderBy(F.desc("step")).collect():  # at most 16 x 63 steps
-        if (room := room - r["count"]) < 0:
-            break
-        least = r.step
-    end = counts.where(F.length("word") == 0).select("word", "n")
-    top = sorted(common.where(F.col("step") >= least).select("word", "n").union(end).collect(), key=lambda r: (-r.n, r.word))
-    model = Model([bytes(r.word) for r in top], [r.n for r in top], total.n, total.kinds)
-    shared = spark.sparkContext.broadcast(model)
-
-    def of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        learner = Learner(model.weights)
-        for batch in batches:
-            for rows, held in _groups(batch.column("text").to_pylist()):
-                for bits in events(model, rows, held):
-                    learner.learn(bits)
-        yield from learner.blocks()
-
-    def of_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Unknown words by their counts; frequent ones once, as each was unknown when it first came."""
-        model = shared.value
-        learner = Learner(model.weights)
-        for batch in batches:
-            words, n = batch.column("word").to_pylist(), batch.column("n").to_numpy()
-            for a in range(0, len(words), TOKENS // 4):
-                part = words[a : a + TOKENS // 4]
-                times = np.where([w in model.ids for w in part], 1, n[a : a + TOKENS // 4])
-                bits = spelling(model, part, np.arange(len(part)))
-                learner.learn(bits, times[bits[0]])
-        yield from learner.blocks()
-
-    kind = "block long, counts binary"
-    parts = train.select("text").mapInArrow(of_texts, kind).union(counts.where(F.length("word") > 0).select("word", "n").mapInArrow(of_words, kind))
-    seen, values = model.seen.reshape(-1, 2 * BLOCK), np.zeros(GATES * (ORDERS + 1) + GATES + 2 * GATES * STEPS)
-    for r in parts.repartition(min(64, shuffle_partitions(spark)), "block").mapInArrow(_add, kind).collect():  # ORDERS << BITS slots
-        if r.block < 0:
-            values = np.frombuffer(zlib.decompress(r.counts), np.float64)
-        else:
-            seen[r.block] = np.frombuffer(zlib.decompress(r.counts), np.uint16)
-    size = GATES * (ORDERS + 1)
-    met = values[size : size + GATES]
-    model.weights[met > 0] = (values[:size].reshape(GATES, -1) / np.maximum(met, 1)[:, None])[met > 0]
-    n, ones = values[size + GATES :].reshape(2, GATES, STEPS)
-    prior = 1 / (1 + np.exp(-(np.arange(STEPS) - STEPS // 2) / 2))
-    model.corrected = ((ones + 20 * prior) / (n + 20)).astype(np.float32)
-    return model
-
-
-def spelled(model: Model, words: list[bytes]) -> np.ndarray:
-    """log10 of the probability of each word's spelling."""
-    out = np.zeros(len(words))
-    for a in range(0, len(words), TOKENS // 4):
-        row, bit, kind, slots = spelling(model, words[a : a + TOKENS // 4], np.arange(a, min(a + TOKENS // 4, len(words))))
-        out += np.bincount(row, log10_bits(model, kind, bit, slots), len(words))
+                at = unpack(a).astype(np.int64)
+                rows.append((0, part, chunk, pack(total[at]), spelling[at].tobytes()))
+        yield _batch(rows, _SPELT)
+
+
+def concentrations(tally: np.ndarray) -> list[float]:
+    """For words and the orders above: how much the order below counts, such that it tells as much as occurrences that are the only one of their kind."""
+    n, kinds = tally[:_TALLY].reshape(ORDERS + 1, 2, 64).transpose(1, 0, 2)
+    total = n[0].sum()
+    out = [max(1.0, kinds[0, 1] * max(0.0, total - 1) / max(1.0, total - kinds[0, 1]))]
+    for k in range(1, ORDERS + 1):
+        some = kinds[k - 1] > 0
+        seen, mean = n[k - 1][some], n[k - 1][some] / kinds[k - 1][some]
+        low, high = -7.0, 14.0
+        for _ in range(50):
+            middle = (low + high) / 2
+            m = 10.0**middle
+            low, high = (middle, high) if (seen * m / (mean - 1 + m)).sum() < kinds[k, 1] else (low, middle)
+        out.append(10.0**low)
     return out
 
 
+@dataclass(frozen=True)
+class Totals:
+    """Of the training texts: tokens, distinct tokens, texts, and the weights of lower orders."""
+
+    tokens: int
+    kinds: int
+    texts: int
+    concentration: list[float]
+
+
+def code(contexts: np.ndarray, hits: np.ndarray) -> np.ndarray:
+    """4 x the cell of the states of the contexts (a row for each order, of one word first), and which of them predicts the token: 0 the longest, 3 none."""
+    states = _STATE[np.minimum(contexts, STATES[-1])]
+    cell = (states[2] * LEVELS + states[1]) * LEVELS + states[0]
+    right = 2 * hits > contexts
+    return 4 * cell + np.where(right[2], 0, np.where(right[1], 1, np.where(right[0], 2, 3)))
+
+
+def fallback(count: np.ndarray, spelling: np.ndarray, contexts: np.ndarray, hits: np.ndarray, t: Totals) -> np.ndarray:
+    """log10 of the probability by counts after the contexts, each order backed by the one below."""
+    p = (count + t.concentration[0] * 10.0 ** np.maximum(spelling, -300)) / (t.tokens + t.concentration[0])
+    for m, n, weight in zip(contexts, hits, t.concentration[1:], strict=True):
+        p = (np.minimum(n, m) + weight * p) / (m + weight)
+    return np.log10(np.maximum(p, 1e-300))
+
+
+_FOUND = T.StructType().add("n_tokens", "long").add("n_known", "long").add("n_bytes", "long").add("base_score", "double").add("rest", "double").add("codes", T.ArrayType(T.IntegerType())).add("times", T.ArrayType(T.IntegerType())).add("tally", T.ArrayType(T.DoubleType()))
+
+
+def _judge(texts: pa.StructArray, words: list[tuple[bytes, bytes]], keys: list[bytes], shape: Shape, t: Totals, tally: np.ndarray) -> pa.RecordBatch:
+    """What a chunk's texts are told by; adds the codes of training tokens to the tally."""
+    c = Chunk(texts.field("text"))
+    held_out = texts.field("held_out").to_numpy(zero_copy_only=False)
+    count = np.concatenate([np.zeros(0, np.uint64), *(unpack(a) for a, _ in words)]).astype(np.int64)
+    spelling = np.concatenate([np.zeros(0, "<f4"), *(np.frombuffer(b, "<f4") for _, b in words)]).astype(np.float64)
+    mine = c.keys(shape.bits).ravel()
+    order = np.argsort(mine)
+    sorted_keys = mine[order]
+    new = np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]])
+    total = np.concatenate([unpack(x) for x in keys]).astype(np.int64)
+    if len(total) != new.sum() or len(count) != len(c.words):
+        raise RuntimeError("counts came back for other keys than were sent")
+    seen = np.empty(len(mine), np.int64)
+    seen[order] = total[np.cumsum(new) - 1]
+    seen = np.concatenate([c.spread(t.texts, count, t.texts)[None], seen.reshape(ORDERS, -1)])  # words, and sequences of two, three and four
+    told = np.ones(len(c.text), bool)
+    told[c.starts] = False
+    told = np.flatnonzero(told)
+    row, n, count = c.text[told], len(texts), seen[0, told]
+    own = (~held_out[row]).astype(np.int64)  # a training token's own occurrence
+    contexts, hits = seen[:ORDERS, told - 1] - own, seen[1:, told] - own
+    codes = code(contexts, hits)
+    tally += np.bincount(codes[own > 0], minlength=4 * CELLS)
+    base = np.log10((count + 0.1) / (t.tokens + 0.1 * (t.kinds + 1)))
+    rest, open_ones = np.zeros(len(told)), np.flatnonzero(codes % 4 == 3)
+    tail = c.spread(0.0, np.log10(1 - 10**END) + spelling, END)[told]
+    rest[open_ones] = fallback((count - own)[open_ones], tail[open_ones], contexts[:, open_ones], hits[:, open_ones], t)
+    both, times = np.unique(row * (4 * CELLS) + codes, return_counts=True)
+    offsets = pa.array(np.searchsorted(both // (4 * CELLS), np.arange(n + 1)), pa.int32())
+    sums = lambda x: pa.array(np.bincount(row, x, n))
+    long = lambda x: pa.array(x.astype(np.int64))
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(x, pa.int32())) for x in (both % (4 * CELLS), times)]
+    columns = [long(c.lengths + 1), long(np.bincount(row, count > 0, n)), pc.binary_length(texts.field("text")).cast(pa.int64()), sums(base), sums(rest), *lists, pa.nulls(n, pa.list_(pa.float64()))]
+    return pa.RecordBatch.from_arrays([texts.field("doc_id"), texts.field("held_out"), *columns], ["doc_id", "held_out", *_FOUND.names])
+
+
+def _states(odds: np.ndarray, weights: np.ndarray, gate: np.ndarray) -> np.ndarray:
+    return np.clip((weights[gate] * odds).sum(1), -12, 12)
+
+
+def mixed_table(tally: np.ndarray) -> np.ndarray:
+    """log10 of the probability of every code, from the tally of training tokens.
+
+    For each bit: a probability for each state of each context; weights for each
+    state of the bit's own context, by online steps over pieces of the tally;
+    corrections for each state and step of the mixed log odds.
+    """
+    tally = tally.reshape(CELLS, 4)
+    cells = np.arange(CELLS)
+    states = np.stack([cells % LEVELS, cells // LEVELS % LEVELS, cells // LEVELS**2])
+    told, stopped = np.zeros((CELLS, 4)), np.zeros(CELLS)
+    order = np.random.default_rng(0).permutation(CELLS)
+    for outcome, k in enumerate(range(ORDERS - 1, -1, -1)):
+        gate, here = states[k], states[k] > 0
+        ones = np.where(here, tally[:, outcome], 0.0)
+        n = np.where(here, tally[:, outcome:].sum(1), 0.0)
+        odds = np.ones((CELLS, ORDERS + 1))
+        for j in range(ORDERS):
+            p = ((np.bincount(states[j], ones, LEVELS) + 0.4) / (np.bincount(states[j], n, LEVELS) + 1))[states[j]]
+            odds[:, j] = np.log(p / (1 - p))
+        weights, squares = np.tile(np.array([1 / ORDERS] * ORDERS + [0.0]), (LEVELS, 1)), np.full((LEVELS, ORDERS + 1), 1e-6)
+        for _ in range(60):
+            for some in np.array_split(order[here[order]], 8):
+                error = ones[some] - n[some] / (1 + np.exp(-_states(odds[some], weights, gate[some])))
+                met = np.maximum(np.bincount(gate[some], n[some], LEVELS), 1)[:, None]
+                slope = np.stack([np.bincount(gate[some], error * odds[some, j], LEVELS) for j in range(ORDERS + 1)], 1) / met
+                squares += slope**2
+                weights += 0.05 * slope / np.sqrt(squares)
+        z = _states(odds, weights, gate)
+        step = gate * STEPS + np.clip(np.rint(z * 2) + STEPS // 2, 0, STEPS - 1).astype(int)
+        prior = 1 / (1 + np.exp(-(np.arange(LEVELS * STEPS) % STEPS - STEPS // 2) / 2))
+        corrected = (np.bincount(step, ones, LEVELS * STEPS) + 20 * prior) / (np.bincount(step, n, LEVELS * STEPS) + 20)
+        p = (corrected[step] + 1 / (1 + np.exp(-z))) / 2
+        told[:, outcome] = stopped + np.where(here, np.log10(p), 0)
+        stopped += np.where(here, np.log10(1 - p), 0)
+    told[:, 3] = stopped
+    return told.ravel()
+
+
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte of each row of docs.
 
     A null or empty text is the end alone; a null id counts as the empty text
     in the fold; rows with one id are scored each; no rows give no rows; other
-    columns are ignored. With no training rows every bit has one half.
+    columns are ignored. With no training rows only spellings tell words, each
+    bit with one half. base_score counts a training text's own tokens, as the
+    contract has it; score doesn't.
     """
     spark = docs.sparkSession
-    held_out = (crc_mod("doc_id", FOLDS) == 0).alias("held_out")
-    train = docs.select("doc_id", "text").where(crc_mod("doc_id", FOLDS) != 0)
-    counts = materialize(word_counts(train), "words")
-    model = fit(train, counts)
-    shared = spark.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        base = np.array([*(model.base(c) for c in model.counts), 0.0])
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            total, sums = np.zeros((2, len(texts)))
-            n, known, rare = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), []
-            for rows, held in _groups(texts):
-                for row, bit, kind, slots in events(model, rows, held):
-                    total += np.bincount(row, log10_bits(model, kind, bit, slots), len(texts))
-                for r, words in zip(rows, held, strict=True):
-                    got = np.array([model.ids.get(w, model.escape) for w in words])
-                    n[r], known[r], sums[r] = len(words), (got != model.escape).sum(), base[got].sum()
-                    rare.append([{"word": w, "n": c} for w, c in Counter(words[i] for i in np.flatnonzero(got == model.escape).tolist()).items()])
-            size = [len(x.encode()) if x else 0 for x in texts]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("held_out"), *(pa.array(x, pa.int64()) for x in (n, known, size)), pa.array(sums), pa.array(total), pa.array(rare, pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])))],
-                names=["doc_id", "held_out", "n_tokens", "known", "n_bytes", "base", "paths", "rare"],
-            )
-
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sp = shuffle_partitions(spark)
+    rows = docs.select("doc_id", (crc_mod("doc_id", FOLDS) == 0).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text") + 2)).first()[0] or 0
+    shape, text_bytes = Shape.of(size), max(CHUNK, isqrt(GROWTH * size))
+    kind = T.StructType().add("chunk", "long").add("bytes", "long").add("texts", T.ArrayType(rows.schema))
+    chunks = materialize(rows.mapInArrow(lambda it: _deal(it, text_bytes), kind), "chunks", compression="zstd")
+    sent = chunks.select("chunk", "texts").mapInArrow(lambda it: _send(shape, it), _SENT)
+    back = materialize(sent.repartition(sp, "kind", "part").sortWithinPartitions("kind", "part").mapInArrow(_gather, _BACK), "counts", compression="zstd")
+
+    tally = np.zeros(_TALLY + 256)
+    for r in back.where("chunk < 0").select(F.posexplode("tally")).groupBy("pos").agg(F.sum("col").alias("n")).collect():  # one row for each number of a tally
+        tally[r.pos] = r.n
+    train = rows.where(~F.col("held_out")).count()
+    by_count = tally[:128].reshape(2, 64).sum(1)
+    total = Totals(int(by_count[0]) + train, int(by_count[1]) + (train > 0), train, concentrations(tally))
+    lexicon = back.where("kind = 0 and chunk < 0")
+    spell = spark.sparkContext.broadcast(letters.fit(lexicon.select(F.col("a").alias("words"), "b").mapInArrow(_known, "words binary"), tally[_TALLY:]))
+    mine = back.where("kind = 0").select("part", "chunk", "a", "b").repartition(sp, "part").sortWithinPartitions("part", "chunk")
+    spelt = mine.mapInArrow(lambda it: _spell(spell.value, it), _SPELT)
+
+    kinds = chunks.schema["texts"].dataType
+    meet = chunks.select("chunk", F.lit(-1).alias("kind"), F.lit(0).alias("part"), F.lit(None).cast("binary").alias("a"), F.lit(None).cast("binary").alias("b"), "texts")
+    for more in (spelt, back.where("kind = 1 and chunk >= 0")):
+        meet = meet.union(more.select("chunk", "kind", "part", "a", "b", F.lit(None).cast(kinds).alias("texts")))
+    meet = meet.repartition(sp, "chunk").sortWithinPartitions("chunk", "kind", "part")
+    found = T.StructType([docs.schema["doc_id"], T.StructField("held_out", T.BooleanType()), *_FOUND.fields])
+    judged = materialize(meet.mapInArrow(lambda it: _judge_all(it, shape, total), found), "judged", compression="zstd")
+
+    tally = np.zeros(4 * CELLS)
+    for r in judged.where("tally is not null").select(F.posexplode("tally")).groupBy("pos").agg(F.sum("col").alias("n")).collect():  # one row for each code
+        tally[r.pos] = r.n
+    table = spark.sparkContext.broadcast(mixed_table(tally))  # a number for each code
+    final = T.StructType(found.fields[:6]).add("train_tokens", "long").add("score", "double").add("bits_per_byte", "double")
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(spelled(shared.value, batch.column("word").to_pylist()))], names=["word", "n", "spelling"])
-
-    kind = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, known long, n_bytes long, base double, paths double, rare array<struct<word:binary,n:bigint>>"
-    rows = materialize(docs.select("doc_id", held_out, "text").mapInArrow(run, kind).withColumn("row", F.monotonically_increasing_id()), "scored")
-    rare = rows.select("row", F.explode("rare").alias("x")).select("row", "x.word", F.col("x.n").alias("times"))
-    # every word that lacks a path is spelled once, whether the training texts have it or not
-    new = rare.select("word").distinct().join(counts, "word", "left").select("word", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
-    lexicon = materialize(new.mapInArrow(spell, "word binary, n long, spelling double"), "spellings")
-    bottom = float(model.total + 0.1 * (model.kinds + 1))
-    times = F.col("times")
-    more = rare.join(lexicon, "word").groupBy("row").agg(F.sum(F.when(F.col("n") > 0, times).otherwise(0)).alias("more"), F.sum(times * F.log10((F.col("n") + 0.1) / bottom)).alias("rest"), F.sum(times * F.col("spelling")).alias("spelt"))
-    rows = rows.join(more, "row", "left").withColumn("score", F.col("paths") + F.coalesce("spelt", F.lit(0.0)))
-    return rows.select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("known") + F.coalesce("more", F.lit(0))).cast("long").alias("n_known"),
-        F.lit(model.total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("rest", F.lit(0.0))).alias("base_score"),
-        "score",
-        F.when(F.col("n_bytes") > 0, -F.col("score") * float(np.log2(10)) / F.col("n_bytes")).alias("bits_per_byte"),
-    )
+            codes, times = (batch.column(c).flatten().to_numpy() for c in ("codes", "times"))
+            row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(batch.column("codes")).to_numpy())
+            value = batch.column("rest").to_numpy() + np.bincount(row, table.value[codes] * times, batch.num_rows)
+            n = batch.column("n_bytes").to_numpy().astype(float)
+            each = pa.array(-value * np.log2(10) / np.maximum(n, 1), mask=n == 0)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(np.full(batch.num_rows, total.tokens)), pa.array(value), each], names=final.names)
+
+    out = judged.where("tally is null").select(*found.names[:6], "rest", "codes", "times").mapInArrow(finish, final)
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
+def _known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of ranges that training texts have."""
+    for batch in batches:
+        out = [b" ".join(w for w, n in zip(a.split(b" "), unpack(b).tolist(), strict=True) if n) for a, b in zip(batch.column("words").to_pylist(), batch.column("b").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["words"])
+
+
+def _judge_all(batches: Iterator[pa.RecordBatch], shape: Shape, t: Totals) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by chunk, kind and part: a chunk's texts, then counts of its words, then of its keys."""
+    tally, texts, held = np.zeros(4 * CELLS), None, ([], [])
+    last = None
+    for batch in batches:
+        column = batch.column("texts")
+        for i, (kind, a, b) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("kind", "a", "b")), strict=True)):
+            if kind < 0:
+                if texts is not None:
+                    yield (last := _judge(texts, *held, shape, t, tally))
+                texts, held = column[i].values, ([], [])
+            elif kind == 0:
+                held[0].append((a, b))
+            else:
+                held[1].append(a)
+    if texts is not None:
+        yield (last := _judge(texts, *held, shape, t, tally))
+    if last is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([tally.tolist()], f.type) if f.name == "tally" else pa.nulls(1, f.type) for f in last.schema], names=last.schema.names)
