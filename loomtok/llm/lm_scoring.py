@@ -35,7 +35,7 @@ from math import isqrt
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,9 +46,9 @@ from loomtok.llm.common import crc_mod, materialize, shuffle_partitions
 
 FOLDS = 10
 #: Bytes of text in a chunk and behind a range, at least, and what they grow with.
-CHUNK, RANGE, GROWTH = 2_000_000, 1_000_000, 400
-#: Bits of a key beyond those that count the bytes of the corpus: at most one key in hundreds meets another.
-SPARE = 8
+CHUNK, RANGE, GROWTH = 4_000_000, 2_000_000, 400
+#: Bits of a key beyond those that count the bytes of the corpus: at most one key in a hundred meets another.
+SPARE = 6
 #: Words before a token that are looked at; kinds of words in a chunk's table.
 ORDERS = 3
 #: Counts from which a context is in the next state; 0 is never seen.
@@ -60,6 +60,7 @@ END = -3.0
 _STATE = np.searchsorted(STATES, np.arange(STATES[-1] + 1), "right")
 _START, _END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_ZIP, _UNZIP = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 #: Numbers of a range's tally: for words and the three orders, occurrences and kinds by bits of the count; then letters.
 _TALLY = 2 * (ORDERS + 1) * 64
 
@@ -81,13 +82,13 @@ class Shape:
 
 
 def pack(x: np.ndarray) -> bytes:
-    """Whole numbers, byte by byte of their places, as wide as the largest needs."""
+    """Whole numbers, byte by byte of their places, as wide as the largest needs, compressed."""
     width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
-    return bytes([width]) + np.ascontiguousarray(x, "<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    return bytes([width]) + _ZIP.compress(np.ascontiguousarray(x, "<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes())
 
 
 def unpack(b: bytes) -> np.ndarray:
-    places = np.frombuffer(b, np.uint8, offset=1).reshape(b[0], -1)
+    places = np.frombuffer(_UNZIP.decompress(memoryview(b)[1:]), np.uint8).reshape(b[0], -1)
     out = np.zeros((places.shape[1], 8), np.uint8)
     out[:, : b[0]] = places.T
     return out.view("<u8").ravel()
@@ -108,6 +109,19 @@ def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x
 
 
+def _hashes(words: pa.Array) -> np.ndarray:
+    """64 bits of each word, none of which is empty: its bytes by powers of an odd number, mixed."""
+    ends = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1, 4 * words.offset)
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    text = np.frombuffer(words.buffers()[2], np.uint8)[ends[0] : ends[-1]].astype(np.uint64)
+    length, starts = np.diff(ends), ends[:-1] - ends[0]
+    powers = np.cumprod(np.full(length.max(), _A), dtype=np.uint64)
+    text += np.uint64(1)
+    text *= powers[np.arange(len(text)) - np.repeat(starts, length)]
+    return _mixed(np.add.reduceat(text, starts), length.astype(np.uint64))
+
+
 class Chunk:
     """The tokens of some texts: each text's start, words and end in a row."""
 
@@ -120,11 +134,10 @@ class Chunk:
         ends = place[np.cumsum(pc.list_value_length(parts).to_numpy(zero_copy_only=False))] if len(texts) else place[:0]
         self.lengths = np.diff(ends, prepend=0)
         coded = words.filter(some).dictionary_encode()
-        kinds = coded.dictionary.cast(pa.binary()).to_pylist()
-        hashes = np.array([xxhash.xxh3_64_intdigest(x) for x in kinds], np.uint64)
+        hashes = _hashes(coded.dictionary)
         order = np.argsort(hashes, kind="stable")
         #: Distinct words by hash, and the place there of each word of the texts.
-        self.words, self.hashes = [kinds[i] for i in order.tolist()], hashes[order]
+        self.words, self.hashes = coded.dictionary.take(pa.array(order)), hashes[order]
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         self.ids = rank[coded.indices.to_numpy()]
@@ -162,32 +175,39 @@ def _batch(rows: list[tuple], schema: T.StructType) -> pa.RecordBatch:
 
 
 def _deal(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """chunk, bytes and texts of each chunk: rows in a row, of `size` bytes of text or of the text that goes beyond."""
+    """chunk and texts of each chunk: rows in a row, of `size` bytes of text or of the text that goes beyond, compressed."""
     at = TaskContext.get().partitionId() << 32
     for batch in batches:
-        length = pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False)
+        length = pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64)
         of = (np.cumsum(length + 1) - length - 1) // size
-        first = np.concatenate([[0], np.flatnonzero(np.diff(of)) + 1, [len(of)]]) if len(of) else np.zeros(1, int)
-        if len(first) < 2:
-            continue
-        held = pa.StructArray.from_arrays(batch.columns, batch.schema.names)
-        sums = np.add.reduceat(length.astype(np.int64) + 2, first[:-1])
-        yield pa.RecordBatch.from_arrays([pa.array(at + np.arange(len(first) - 1)), pa.array(sums), pa.ListArray.from_arrays(pa.array(first, pa.int32()), held)], ["chunk", "bytes", "texts"])
-        at += len(first) - 1
+        first = np.flatnonzero(np.diff(of, prepend=-1)).tolist()
+        for a, b in zip(first, [*first[1:], len(of)], strict=True):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                writer.write_batch(batch.slice(a, b - a))
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["chunk", "texts"])
+            at += 1
+
+
+def _texts(packed: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(packed).read_next_batch()
 
 
 def _send(shape: Shape, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words and keys of each chunk, with their counts in training texts, to their ranges."""
     word_edges, key_edges = shape.edges(64), shape.edges(shape.bits + 2)
     for batch in batches:
-        for number, texts in zip(batch.column("chunk").to_pylist(), batch.column("texts"), strict=True):
-            c, train = Chunk(texts.values.field("text")), ~texts.values.field("held_out").to_numpy(zero_copy_only=False)
+        for number, packed in zip(batch.column("chunk").to_pylist(), batch.column("texts").to_pylist(), strict=True):
+            texts = _texts(packed)
+            c, train = Chunk(texts.column("text")), ~texts.column("held_out").to_numpy(zero_copy_only=False)
             learned = np.repeat(train, c.lengths)
             counts = np.bincount(c.ids[learned], minlength=len(c.words)).astype(np.uint64)
+            spaced = pc.binary_join_element_wise(c.words, "", " ")
+            joined, ends = (spaced.buffers()[2] or pa.py_buffer(b"")).to_pybytes(), np.frombuffer(spaced.buffers()[1], np.int32).tolist()
             rows, cuts = [], [0, *np.searchsorted(c.hashes, word_edges).tolist(), len(c.words)]
             for part, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
                 if b > a:
-                    rows.append((0, part, number, b" ".join(c.words[a:b]), pack(counts[a:b])))
+                    rows.append((0, part, number, joined[ends[a] : ends[b] - 1], pack(counts[a:b])))
             keys = c.keys(shape.bits) << np.uint64(1) | train[c.text].astype(np.uint64)
             keys = np.sort(keys.ravel())
             kinds = keys >> np.uint64(1)
@@ -334,10 +354,10 @@ def fallback(count: np.ndarray, spelling: np.ndarray, contexts: np.ndarray, hits
 _FOUND = T.StructType().add("n_tokens", "long").add("n_known", "long").add("n_bytes", "long").add("base_score", "double").add("rest", "double").add("codes", T.ArrayType(T.IntegerType())).add("times", T.ArrayType(T.IntegerType())).add("tally", T.ArrayType(T.DoubleType()))
 
 
-def _judge(texts: pa.StructArray, words: list[tuple[bytes, bytes]], keys: list[bytes], shape: Shape, t: Totals, tally: np.ndarray) -> pa.RecordBatch:
+def _judge(texts: pa.RecordBatch, words: list[tuple[bytes, bytes]], keys: list[bytes], shape: Shape, t: Totals, tally: np.ndarray) -> pa.RecordBatch:
     """What a chunk's texts are told by; adds the codes of training tokens to the tally."""
-    c = Chunk(texts.field("text"))
-    held_out = texts.field("held_out").to_numpy(zero_copy_only=False)
+    c = Chunk(texts.column("text"))
+    held_out = texts.column("held_out").to_numpy(zero_copy_only=False)
     count = np.concatenate([np.zeros(0, np.uint64), *(unpack(a) for a, _ in words)]).astype(np.int64)
     spelling = np.concatenate([np.zeros(0, "<f4"), *(np.frombuffer(b, "<f4") for _, b in words)]).astype(np.float64)
     mine = c.keys(shape.bits).ravel()
@@ -353,7 +373,7 @@ def _judge(texts: pa.StructArray, words: list[tuple[bytes, bytes]], keys: list[b
     told = np.ones(len(c.text), bool)
     told[c.starts] = False
     told = np.flatnonzero(told)
-    row, n, count = c.text[told], len(texts), seen[0, told]
+    row, n, count = c.text[told], texts.num_rows, seen[0, told]
     own = (~held_out[row]).astype(np.int64)  # a training token's own occurrence
     contexts, hits = seen[:ORDERS, told - 1] - own, seen[1:, told] - own
     codes = code(contexts, hits)
@@ -367,8 +387,8 @@ def _judge(texts: pa.StructArray, words: list[tuple[bytes, bytes]], keys: list[b
     sums = lambda x: pa.array(np.bincount(row, x, n))
     long = lambda x: pa.array(x.astype(np.int64))
     lists = [pa.ListArray.from_arrays(offsets, pa.array(x, pa.int32())) for x in (both % (4 * CELLS), times)]
-    columns = [long(c.lengths + 1), long(np.bincount(row, count > 0, n)), pc.binary_length(texts.field("text")).cast(pa.int64()), sums(base), sums(rest), *lists, pa.nulls(n, pa.list_(pa.float64()))]
-    return pa.RecordBatch.from_arrays([texts.field("doc_id"), texts.field("held_out"), *columns], ["doc_id", "held_out", *_FOUND.names])
+    columns = [long(c.lengths + 1), long(np.bincount(row, count > 0, n)), pc.binary_length(texts.column("text")).cast(pa.int64()), sums(base), sums(rest), *lists, pa.nulls(n, pa.list_(pa.float64()))]
+    return pa.RecordBatch.from_arrays([texts.column("doc_id"), texts.column("held_out"), *columns], ["doc_id", "held_out", *_FOUND.names])
 
 
 def _states(odds: np.ndarray, weights: np.ndarray, gate: np.ndarray) -> np.ndarray:
@@ -428,10 +448,10 @@ def score(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", (crc_mod("doc_id", FOLDS) == 0).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text") + 2)).first()[0] or 0
     shape, text_bytes = Shape.of(size), max(CHUNK, isqrt(GROWTH * size))
-    kind = T.StructType().add("chunk", "long").add("bytes", "long").add("texts", T.ArrayType(rows.schema))
-    chunks = materialize(rows.mapInArrow(lambda it: _deal(it, text_bytes), kind), "chunks", compression="zstd")
-    sent = chunks.select("chunk", "texts").mapInArrow(lambda it: _send(shape, it), _SENT)
-    back = materialize(sent.repartition(sp, "kind", "part").sortWithinPartitions("kind", "part").mapInArrow(_gather, _BACK), "counts", compression="zstd")
+    kind = T.StructType().add("chunk", "long").add("texts", "binary")
+    chunks = materialize(rows.mapInArrow(lambda it: _deal(it, text_bytes), kind), "chunks")
+    sent = chunks.mapInArrow(lambda it: _send(shape, it), _SENT)
+    back = materialize(sent.repartition(sp, "kind", "part").sortWithinPartitions("kind", "part").mapInArrow(_gather, _BACK), "counts")
 
     tally = np.zeros(_TALLY + 256)
     for r in back.where("chunk < 0").select(F.posexplode("tally")).groupBy("pos").agg(F.sum("col").alias("n")).collect():  # one row for each number of a tally
@@ -444,10 +464,9 @@ def score(docs: DataFrame) -> DataFrame:
     mine = back.where("kind = 0").select("part", "chunk", "a", "b").repartition(sp, "part").sortWithinPartitions("part", "chunk")
     spelt = mine.mapInArrow(lambda it: _spell(spell.value, it), _SPELT)
 
-    kinds = chunks.schema["texts"].dataType
-    meet = chunks.select("chunk", F.lit(-1).alias("kind"), F.lit(0).alias("part"), F.lit(None).cast("binary").alias("a"), F.lit(None).cast("binary").alias("b"), "texts")
+    meet = chunks.select("chunk", F.lit(-1).alias("kind"), F.lit(0).alias("part"), F.col("texts").alias("a"), F.lit(None).cast("binary").alias("b"))
     for more in (spelt, back.where("kind = 1 and chunk >= 0")):
-        meet = meet.union(more.select("chunk", "kind", "part", "a", "b", F.lit(None).cast(kinds).alias("texts")))
+        meet = meet.union(more.select("chunk", "kind", "part", "a", "b"))
     meet = meet.repartition(sp, "chunk").sortWithinPartitions("chunk", "kind", "part")
     found = T.StructType([docs.schema["doc_id"], T.StructField("held_out", T.BooleanType()), *_FOUND.fields])
     judged = materialize(meet.mapInArrow(lambda it: _judge_all(it, shape, total), found), "judged", compression="zstd")
@@ -483,12 +502,11 @@ def _judge_all(batches: Iterator[pa.RecordBatch], shape: Shape, t: Totals) -> It
     tally, texts, held = np.zeros(4 * CELLS), None, ([], [])
     last = None
     for batch in batches:
-        column = batch.column("texts")
-        for i, (kind, a, b) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("kind", "a", "b")), strict=True)):
+        for kind, a, b in zip(*(batch.column(c).to_pylist() for c in ("kind", "a", "b")), strict=True):
             if kind < 0:
                 if texts is not None:
                     yield (last := _judge(texts, *held, shape, t, tally))
-                texts, held = column[i].values, ([], [])
+                texts, held = _texts(a), ([], [])
             elif kind == 0:
                 held[0].append((a, b))
             else:
