@@ -46,7 +46,7 @@ from loomtok.llm.common import crc_mod, materialize, shuffle_partitions
 
 FOLDS = 10
 #: Bytes of text in a chunk and behind a range, at least, and what they grow with.
-CHUNK, RANGE, GROWTH = 4_000_000, 2_000_000, 400
+CHUNK, RANGE, GROWTH = 3_000_000, 2_000_000, 400
 #: Bits of a key beyond those that count the bytes of the corpus: at most one key in a hundred meets another.
 SPARE = 6
 #: Words before a token that are looked at; kinds of words in a chunk's table.
@@ -189,7 +189,7 @@ def _deal(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
             at += 1
 
 
-def _texts(packed: bytes) -> pa.RecordBatch:
+def _texts(packed: pa.Buffer) -> pa.RecordBatch:
     return pa.ipc.open_stream(packed).read_next_batch()
 
 
@@ -197,8 +197,8 @@ def _send(shape: Shape, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
     """Words and keys of each chunk, with their counts in training texts, to their ranges."""
     word_edges, key_edges = shape.edges(64), shape.edges(shape.bits + 2)
     for batch in batches:
-        for number, packed in zip(batch.column("chunk").to_pylist(), batch.column("texts").to_pylist(), strict=True):
-            texts = _texts(packed)
+        for number, packed in zip(batch.column("chunk").to_pylist(), batch.column("texts"), strict=True):
+            texts = _texts(packed.as_buffer())
             c, train = Chunk(texts.column("text")), ~texts.column("held_out").to_numpy(zero_copy_only=False)
             learned = np.repeat(train, c.lengths)
             counts = np.bincount(c.ids[learned], minlength=len(c.words)).astype(np.uint64)
@@ -208,8 +208,11 @@ def _send(shape: Shape, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
             for part, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
                 if b > a:
                     rows.append((0, part, number, joined[ends[a] : ends[b] - 1], pack(counts[a:b])))
-            keys = c.keys(shape.bits) << np.uint64(1) | train[c.text].astype(np.uint64)
-            keys = np.sort(keys.ravel())
+            keys = c.keys(shape.bits)
+            keys <<= np.uint64(1)
+            keys |= train[c.text].astype(np.uint64)
+            keys = keys.ravel()
+            keys.sort()
             kinds = keys >> np.uint64(1)
             first = np.flatnonzero(np.concatenate([[True], kinds[1:] != kinds[:-1]]))
             counts, kinds = np.add.reduceat(keys & np.uint64(1), first), kinds[first]
@@ -354,28 +357,36 @@ def fallback(count: np.ndarray, spelling: np.ndarray, contexts: np.ndarray, hits
 _FOUND = T.StructType().add("n_tokens", "long").add("n_known", "long").add("n_bytes", "long").add("base_score", "double").add("rest", "double").add("codes", T.ArrayType(T.IntegerType())).add("times", T.ArrayType(T.IntegerType())).add("tally", T.ArrayType(T.DoubleType()))
 
 
+def _returned(mine: np.ndarray, counts: list[bytes]) -> np.ndarray:
+    """The count of each key, from those of the distinct keys in order."""
+    order = np.argsort(mine)
+    mine = mine[order]
+    place = np.cumsum(np.concatenate([[False], mine[1:] != mine[:-1]]))
+    total = np.concatenate([unpack(x) for x in counts]).astype(np.int64)
+    if len(total) != place[-1] + 1:
+        raise RuntimeError("counts came back for other keys than were sent")
+    out = np.empty(len(mine), np.int64)
+    out[order] = total[place]
+    return out
+
+
 def _judge(texts: pa.RecordBatch, words: list[tuple[bytes, bytes]], keys: list[bytes], shape: Shape, t: Totals, tally: np.ndarray) -> pa.RecordBatch:
     """What a chunk's texts are told by; adds the codes of training tokens to the tally."""
     c = Chunk(texts.column("text"))
     held_out = texts.column("held_out").to_numpy(zero_copy_only=False)
     count = np.concatenate([np.zeros(0, np.uint64), *(unpack(a) for a, _ in words)]).astype(np.int64)
     spelling = np.concatenate([np.zeros(0, "<f4"), *(np.frombuffer(b, "<f4") for _, b in words)]).astype(np.float64)
-    mine = c.keys(shape.bits).ravel()
-    order = np.argsort(mine)
-    sorted_keys = mine[order]
-    new = np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]])
-    total = np.concatenate([unpack(x) for x in keys]).astype(np.int64)
-    if len(total) != new.sum() or len(count) != len(c.words):
-        raise RuntimeError("counts came back for other keys than were sent")
-    seen = np.empty(len(mine), np.int64)
-    seen[order] = total[np.cumsum(new) - 1]
-    seen = np.concatenate([c.spread(t.texts, count, t.texts)[None], seen.reshape(ORDERS, -1)])  # words, and sequences of two, three and four
+    if len(count) != len(c.words):
+        raise RuntimeError("counts came back for other words than were sent")
+    # words, and sequences of two, three and four
+    seen = np.concatenate([c.spread(t.texts, count, t.texts)[None], _returned(c.keys(shape.bits).ravel(), keys).reshape(ORDERS, -1)])
     told = np.ones(len(c.text), bool)
     told[c.starts] = False
     told = np.flatnonzero(told)
     row, n, count = c.text[told], texts.num_rows, seen[0, told]
     own = (~held_out[row]).astype(np.int64)  # a training token's own occurrence
     contexts, hits = seen[:ORDERS, told - 1] - own, seen[1:, told] - own
+    del seen
     codes = code(contexts, hits)
     tally += np.bincount(codes[own > 0], minlength=4 * CELLS)
     base = np.log10((count + 0.1) / (t.tokens + 0.1 * (t.kinds + 1)))
@@ -502,15 +513,15 @@ def _judge_all(batches: Iterator[pa.RecordBatch], shape: Shape, t: Totals) -> It
     tally, texts, held = np.zeros(4 * CELLS), None, ([], [])
     last = None
     for batch in batches:
-        for kind, a, b in zip(*(batch.column(c).to_pylist() for c in ("kind", "a", "b")), strict=True):
+        for kind, a, b in zip(batch.column("kind").to_pylist(), batch.column("a"), batch.column("b"), strict=True):
             if kind < 0:
                 if texts is not None:
                     yield (last := _judge(texts, *held, shape, t, tally))
-                texts, held = _texts(a), ([], [])
+                texts, held = _texts(a.as_buffer()), ([], [])
             elif kind == 0:
-                held[0].append((a, b))
+                held[0].append((a.as_py(), b.as_py()))
             else:
-                held[1].append(a)
+                held[1].append(a.as_py())
     if texts is not None:
         yield (last := _judge(texts, *held, shape, t, tally))
     if last is not None:
