@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 #: A word is a maximal run of anything but these bytes, as bytes.split() has it.
 WORD = r"[^\x20\x09-\x0D]+"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -39,11 +40,18 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Writes df as a table in the shared folder and reads it again: cuts lineage, survives lost executors.
 
-    All tables of an application are below loomtok/<its id>, to be removed with it.
+    All tables of an application are below loomtok/<its id>, to be removed with
+    it. The shuffles behind the table aren't needed once it stands, and their
+    files go with the write.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loomtok/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
