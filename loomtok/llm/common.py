@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 #: A word is a maximal run of anything but these bytes, as bytes.split() has it.
 WORD = r"[^\x20\x09-\x0D]+"
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: its shuffle files go with the write, and batches for Python hold few bytes, however long the texts.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -46,12 +47,14 @@ def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFr
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loomtok/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+    before = {k: spark.conf.get(k) for k in _WRITING}
     try:
+        for k, v in _WRITING.items():
+            spark.conf.set(k, v)
         df.write.option("compression", compression).parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 

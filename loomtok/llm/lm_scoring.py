@@ -284,12 +284,12 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     held, at = [], None
     for batch in batches:
-        for kind, part, *row in zip(*(batch.column(c).to_pylist() for c in _SENT.names), strict=True):
+        for kind, part, chunk, a, b in zip(*(batch.column(c).to_pylist() for c in ("kind", "part", "chunk")), batch.column("a"), batch.column("b"), strict=True):
             if (kind, part) != at:
                 if held:
                     yield from out(held, *at)
                 held, at = [], (kind, part)
-            held.append(row)
+            held.append((chunk, a.as_py(), b.as_py()))
     if held:
         yield from out(held, *at)
 
