@@ -215,23 +215,6 @@ def test_lm_beats_the_base_on_held_out_texts(spark, data):
     assert out[0] > out[1]
 
 
-def test_lm_bits_are_probabilities():
-    starts, nodes, bits = lm_scoring.huffman([5, 1, 1, 3, 2])
-    assert sum(2.0 ** -(starts[i + 1] - starts[i]) for i in range(5)) == 1
-    m = lm_scoring.Model([b"", b"the"], [3, 2], 9, 5)
-    total = {}
-    held = [lm_scoring.tokens(x) for x in ("the new the", None)]
-    for row, bit, kind, slots in [*lm_scoring.events(m, [0, 1], held), lm_scoring.spelling(m, [b"new"], np.zeros(1, np.int64))]:
-        for r, x in zip(row, lm_scoring.log10_bits(m, kind, bit, slots), strict=True):
-            total[r] = total.get(r, 0) + x
-            assert x < 0
-        for v in (0, 1):
-            p = 10 ** lm_scoring.log10_bits(m, kind, np.full(len(bit), v), slots)
-            q = 10 ** lm_scoring.log10_bits(m, kind, np.full(len(bit), 1 - v), slots)
-            assert np.allclose(p + q, 1)
-    assert set(total) == {0, 1}
-
-
 def measure(text):
     w = words(text)
     lines, again = set(), 0
