@@ -1,11 +1,16 @@
 """Personal data: fixed shapes, and identifiers found by bootstrapped contexts.
 
-Fixed shapes (email, ip, card, phone) are regular expressions and checks. They,
-and strings shaped like keys, are the seeds of the second part: every token
-that mixes letters and digits is an instance, the words to its left make a
-pattern, and patterns and instances score each other for a few rounds over the
-graph of who occurs with whom. Instances not yet known that stand in a pattern
-of high confidence are found as kind "other".
+Fixed shapes (email, ip, card, phone) are regular expressions and checks. Their
+matches, and strings shaped like keys, are the seeds of the second part. All
+matches, and every other token that holds a digit, are instances; the two words
+to the left of an instance, the two to its right, and the one to either side
+are its patterns. Where a text starts, and where it or the next instance ends
+what follows, stands a mark, and so does the instance before, so that each has
+all three. Patterns and
+instances score each other for a few rounds over the graph of who occurs with
+whom. Instances not yet known that stand in a pattern of high confidence are
+found as kind "other". A token without a digit is found by its shape only (an
+email), never by its context.
 
 DataFrame and SQL functions only. A position comes from the lengths of what
 split() leaves between matches, since both walk a text in the same way. The
@@ -16,7 +21,7 @@ the same.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtok.llm.common import materialize
@@ -28,11 +33,13 @@ SHAPES = {
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,18}(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-INSTANCE = r"(?<![A-Za-z0-9._%+@-])(?=[0-9._%+@-]*+[A-Za-z])(?=[A-Za-z._%+@-]*+[0-9])[A-Za-z0-9._%+@-]{7,}[A-Za-z0-9]"
+INSTANCE = r"(?<![A-Za-z0-9._%+@-])(?=[A-Za-z._%+@-]*+[0-9])[A-Za-z0-9._%+@-]{3,}[A-Za-z0-9]"
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 KEY = "^(?:[0-9a-fA-F]{32,}|AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36})$"
 #: Rounds, and what makes a pattern: distinct instances, and their mean score.
 ROUNDS, SUPPORT, CONFIDENCE = 3, 3, 0.8
+#: Characters to either side of an instance that its patterns are taken from.
+WINDOW = 200
 
 
 def _digits(m: Column) -> Column:
@@ -53,27 +60,25 @@ def valid(kind: str, m: Column) -> Column:
     }[kind]
 
 
-def _spans(text: Column, found: Column, pattern: str) -> Column:
-    """start, end, match and the part before, of each match in order."""
-    parts = F.split(text, pattern, -1)
-    pairs = F.zip_with(found, F.slice(parts, 1, F.size(found)), lambda m, p: F.struct(m.alias("match"), p.alias("before")))
-    none = F.array().cast("array<struct<start:int,end:int,match:string,before:string>>")
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["before"])
-        end = start + F.length(x["match"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["match"].alias("match"), F.right(x["before"], F.lit(48)).alias("before")))).alias("out"))
-
-    return F.when(F.size(found) > 0, F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])).otherwise(none)
+def _pieces(i: int, kind: str) -> Column:
+    """Of each match in order: its kind and place among them, what it is, how far it is from the one before, and what stands around it."""
+    found, parts = F.col(f"_{kind}"), F.col(f"_{kind}_parts")
+    pairs = F.zip_with(found, F.slice(parts, 1, F.size(found)), lambda m, p: F.struct(m.alias("match"), F.length(p).alias("gap"), F.right(p, F.lit(WINDOW)).alias("before")))
+    pairs = F.zip_with(pairs, F.slice(parts, 2, F.size(found)), lambda x, p: F.struct(x["match"].alias("match"), x["gap"].alias("gap"), x["before"].alias("before"), F.left(p, F.lit(WINDOW)).alias("after")))
+    return F.transform(pairs, lambda x, at: F.struct(F.lit(i).alias("kind"), at.alias("at"), x["match"].alias("match"), x["gap"].alias("gap"), F.concat(F.when(at == 0, F.lit("^ ^ ")).otherwise(F.lit("# # ")), x["before"]).alias("before"), x["after"].alias("after")))
 
 
-def _of_kind(i: int, kind: str) -> Column:
-    ok = F.filter(F.col(f"_{kind}"), lambda x: valid(kind, x["match"]))
-    return F.transform(ok, lambda x: F.struct(F.lit(i).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
+def _patterns(before: Column, after: Column) -> Column:
+    """Hashes of the two words before with what is glued to the instance, of the two after, and of the one to either side."""
+    plain = lambda c: F.lower(F.regexp_replace(c, r"\S*[0-9@]\S*", "#"))
+    left, right = plain(before), F.concat(plain(after), F.lit(" $ $"))
+    two, to = F.regexp_extract(left, r"(\S+\s+\S+\s+\S*)\z", 1), F.regexp_extract(right, r"^(\S*\s+\S+\s+\S+)", 1)
+    one, next_one = F.regexp_extract(left, r"(\S+\s+\S*)\z", 1), F.regexp_extract(right, r"^(\S*\s+\S+)", 1)
+    return F.array(F.xxhash64(F.lit("left"), two), F.xxhash64(F.lit("right"), to), F.xxhash64(F.lit("both"), one, next_one))
 
 
 def occurrences(rows: DataFrame) -> DataFrame:
-    """rows' own columns but text, with base (kind, start, end) and instances (start, end, instance, pattern, known)."""
+    """rows' own columns but text, with the pieces of all kinds, instances last."""
     keep = [c for c in rows.columns if c != "text"]
     t = F.coalesce("text", F.lit(""))
     none = F.array().cast("array<string>")
@@ -81,31 +86,30 @@ def occurrences(rows: DataFrame) -> DataFrame:
     needs = {"email": F.instr(t, "@") > 0, "ip": t.rlike(r"[0-9]\.[0-9]"), "card": t.rlike(r"[0-9][\x20-]?[0-9][\x20-]?[0-9]"), "phone": F.instr(t, "+") > 0, "instance": t.rlike("[0-9]")}
     every = {**SHAPES, "instance": INSTANCE}
     found = rows.select(*keep, t.alias("text"), *(F.when(needs[k], F.regexp_extract_all(t, F.lit(p), F.lit(0))).otherwise(none).alias(f"_{k}") for k, p in every.items()))
-    spans = found.select(*keep, *(_spans(F.col("text"), F.col(f"_{k}"), p).alias(f"_{k}") for k, p in every.items()))
-    base = F.concat(*(_of_kind(i, k) for i, k in enumerate(KINDS)))
-    spans = spans.select(*keep, base.alias("base"), "_instance")
-    context = lambda before: F.regexp_replace(F.lower(F.regexp_extract(before, r"(\S+\s+\S+\s+\S*)$", 1)), "[0-9]+", "9")
-    return spans.select(
-        *keep,
-        "base",
-        F.transform(
-            "_instance",
-            lambda x: F.struct(
-                x["start"].alias("start"),
-                x["end"].alias("end"),
-                F.xxhash64(x["match"]).alias("instance"),
-                F.when(F.length(context(x["before"])) > 0, F.xxhash64(context(x["before"]))).alias("pattern"),
-                F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])).alias("known"),
-                x["match"].rlike(KEY).alias("key"),
-            ),
-        ).alias("instances"),
-    )
+    parted = found.select(*keep, *(f"_{k}" for k in every), *(F.when(F.size(f"_{k}") > 0, F.split("text", p, -1)).otherwise(none).alias(f"_{k}_parts") for k, p in every.items()))
+    return parted.select(*keep, F.concat(*(_pieces(i, k) for i, k in enumerate(every))).alias("pieces"))
+
+
+def instances(found: DataFrame, key: list[str]) -> DataFrame:
+    """key, kind, start, end, instance, patterns and seed of each valid match, and of each other token that none of those overlaps."""
+    flat = found.select(*key, F.inline("pieces")).repartition(*key)
+    size = F.length("match")
+    end = F.sum(F.col("gap") + size).over(Window.partitionBy(*key, "kind").orderBy("at")).cast("int")
+    flat = flat.select("*", (end - size).alias("start"), end.alias("end"))
+    ok = F.lit(False)
+    for i, k in enumerate(KINDS):
+        ok = ok | ((F.col("kind") == i) & valid(k, F.col("match")))
+    flat = flat.select("*", ok.alias("base")).where(F.col("base") | (F.col("kind") == len(KINDS)))
+    before, after = (Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1) for order in ((F.asc("start"), F.asc("kind")), (F.desc("start"), F.desc("kind"))))
+    flat = flat.select("*", F.max(F.when(F.col("base"), F.col("end"))).over(before).alias("reach")).select("*", F.min(F.when(F.col("base"), F.col("start"))).over(after).alias("next"))
+    apart = F.col("base") | ~(F.coalesce(F.col("reach") > F.col("start"), F.lit(False)) | F.coalesce(F.col("next") < F.col("end"), F.lit(False)))
+    return flat.where(apart).select(*key, "kind", "start", "end", F.xxhash64("match").alias("instance"), _patterns(F.col("before"), F.col("after")).alias("patterns"), (F.col("base") | F.col("match").rlike(KEY)).alias("seed"))
 
 
 def learn_patterns(found: DataFrame) -> DataFrame:
     """pattern: those whose instances score high after the rounds, over all occurrences."""
-    seen = found.select(F.explode("instances").alias("x")).where("x.pattern is not null")
-    edges = materialize(seen.groupBy("x.pattern", "x.instance").agg(F.max((F.col("x.known") | F.col("x.key")).cast("double")).alias("score")), "edges")
+    seen = found.select(F.explode("patterns").alias("pattern"), "instance", F.col("seed").cast("double").alias("score"))
+    edges = materialize(seen.groupBy("pattern", "instance").agg(F.max("score").alias("score")), "edges")
     apart = lambda c: F.col(c).bitwiseXOR(F.lit(0)).alias(c)  # noqa: E731  hides the partitioning, so that a hot key can be split
     patterns = None
     for k in range(ROUNDS):
@@ -124,11 +128,14 @@ def find_spans(rows: DataFrame, key: list[str]) -> DataFrame:
     Rows with the same key, which is never null, must have the same text.
     """
     found = materialize(occurrences(rows), "occurrences")
-    fresh = found.select(*key, F.explode(F.filter("instances", lambda x: ~x["known"] & x["pattern"].isNotNull())).alias("x"))
-    more = fresh.select(*key, "x.start", "x.end", F.col("x.pattern").alias("pattern")).join(learn_patterns(found), "pattern")
-    more = more.groupBy(*key).agg(F.sort_array(F.collect_set(F.struct(F.lit(len(KINDS)).alias("kind"), "start", "end"))).alias("more"))
-    rest = [c for c in found.columns if c not in ("base", "instances")]
-    return found.join(more, key, "left").select(*rest, F.coalesce(F.concat("base", "more"), "base").alias("spans"))
+    every = materialize(instances(found, key), "instances")
+    base = every.where(F.col("kind") < len(KINDS)).select(*key, "kind", "start", "end")
+    fresh = every.where(F.col("kind") == len(KINDS)).select(*key, "kind", "start", "end", F.explode("patterns").alias("pattern"))
+    more = fresh.join(learn_patterns(every), "pattern").select(*key, "kind", "start", "end").distinct()
+    spans = base.union(more).groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("kind", "start", "end"))).alias("spans"))
+    none = F.array().cast("array<struct<kind:int,start:int,end:int>>")
+    rest = [c for c in found.columns if c != "pieces"]
+    return found.select(*rest).join(spans, key, "left").select(*rest, F.coalesce("spans", none).alias("spans"))
 
 
 def detect(docs: DataFrame) -> DataFrame:
