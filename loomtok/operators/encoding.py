@@ -9,6 +9,7 @@ single join. Models without merges map UTF-8 bytes to ids for a whole batch at o
 
 from __future__ import annotations
 
+import heapq
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -40,22 +41,34 @@ def sweep(ids: list[int], rules: dict[tuple[int, int], int]) -> list[int]:
 
 
 def lowest_first(ids: list[int], rules: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
-    """Merges all places of the pair of the lowest rank, until no pair has a rule."""
-    while len(ids) > 1:
-        ranked = [(rules[p][0], p) for p in zip(ids, ids[1:], strict=False) if p in rules]
-        if not ranked:
-            break
-        _, pair = min(ranked)
-        new, out, i = rules[pair][1], [], 0
-        while i < len(ids):
-            if i + 1 < len(ids) and (ids[i], ids[i + 1]) == pair:
-                out.append(new)
-                i += 2
-            else:
-                out.append(ids[i])
-                i += 1
-        ids = out
-    return ids
+    """Merges all places of the pair of the lowest rank, from the left, until no pair has a rule.
+
+    Ids are linked to their neighbours, and a heap holds (rank, place) of every
+    pair, so that a run costs n log n; a place that changed is passed over.
+    """
+    n = len(ids)
+    if n < 2:
+        return ids
+    ids, after, before = list(ids), [*range(1, n), -1], [-1, *range(n - 1)]
+    heap = [(rules[p][0], i) for i, p in enumerate(zip(ids, ids[1:], strict=False)) if p in rules]
+    heapq.heapify(heap)
+    while heap:
+        rank, made = heap[0][0], []
+        while heap and heap[0][0] == rank:  # the places there are now, before any that this makes
+            i = heapq.heappop(heap)[1]
+            j = after[i]
+            if ids[i] is None or j < 0 or (rule := rules.get((ids[i], ids[j]))) is None or rule[0] != rank or made and made[-1] == i:
+                continue
+            ids[i], ids[j], k = rule[1], None, after[j]
+            after[i], after[j] = k, -1
+            if k >= 0:
+                before[k] = i
+            made.append(i)
+        for i in made:
+            for x in (before[i], i):
+                if x >= 0 and ids[x] is not None and after[x] >= 0 and (rule := rules.get((ids[x], ids[after[x]]))) is not None:
+                    heapq.heappush(heap, (rule[0], x))
+    return [x for x in ids if x is not None]
 
 
 class Encoder:
@@ -87,7 +100,7 @@ class Encoder:
             if len(now) == len(ids):
                 break
             ids = now
-        return lowest_first(ids, self.late) if self.late and len(ids) > 2 else ids
+        return lowest_first(ids, self.late) if self.late else ids
 
     def _part(self, part: str) -> bytes:
         return np.array([i for r in _RUNS.findall(part) for i in self.run(r)], "<i4").tobytes()

@@ -10,8 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words that synthetic texts are drawn from.
-WORDS = "the be to of and a in that have it for not on with he as you do at this but his by from they we say her she or an will my one all would there their what so up out if about who get which go me".split()
+#: Parts that the words of synthetic texts are made of.
+_ONSETS, _ENDS = ("b", "dr", "f", "k", "l", "m", "pl", "s", "t", "v"), ("a", "en", "il", "o", "ur")
 
 
 def compression(encoded: DataFrame, *by: str, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -54,8 +54,11 @@ def memory_mb() -> float:
 
 
 def synthetic_text(spark: SparkSession, docs: int, words: int, seed: int = 0) -> DataFrame:
-    """doc_id, text: texts of so many words, made where they are used."""
-    pick = F.element_at(F.array(*map(F.lit, WORDS)), (F.pmod(F.xxhash64("doc_id", "at", F.lit(seed)), F.lit(len(WORDS))) + 1).cast("int"))
+    """doc_id, text: texts of so many words of one to three syllables, made where they are used."""
+    syllables = [a + b for a in _ONSETS for b in _ENDS]
+    number = F.pmod(F.xxhash64("doc_id", "at", F.lit(seed)), F.lit(3 * len(syllables) ** 2))
+    of = lambda n: F.get(F.array(*map(F.lit, syllables)), F.pmod(n, F.lit(len(syllables))).cast("int"))
+    pick = F.concat(of(number), F.when(number % 3 > 0, of(F.floor(number / 150))).otherwise(""), F.when(number % 3 > 1, of(F.floor(number / 7))).otherwise(""))
     at = spark.range(docs).withColumnRenamed("id", "doc_id").select("doc_id", F.explode(F.sequence(F.lit(1), F.lit(words))).alias("at"))
     return at.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", pick.alias("w")))), lambda x: x["w"]), " ").alias("text"))
 

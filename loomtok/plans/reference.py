@@ -379,6 +379,21 @@ def encode_fixed_model(spark, d):
     return out.select("doc_id", F.md5(said(F.col("ids")).cast("binary")).alias("digest"), F.size("ids").alias("n"))
 
 
+def _late_model() -> Model:
+    """A thousand rules over bytes that no text of the tables has, then t and h as rule 1000."""
+    base = Model.untrained(TokenizerConfig())
+    absent = [*range(9), *range(14, 32), 0xC0, 0xC1, *range(0xF8, 0x100)]
+    pairs = [(a, b) for a in absent for b in absent][:1000] + [(ord("t"), ord("h"))]
+    rules = [(a, b, 256 + i) for i, (a, b) in enumerate(pairs)]
+    return Model(base.config, base.tokens + [bytes(p) for p in pairs], base.kinds + ["merge"] * len(rules), rules, base.specials)
+
+
+@query("""SELECT doc_id, strlen(t)::INT - n AS n_ids, n AS n_merged FROM (SELECT doc_id, nfc_normalize(text) AS t, ((strlen(nfc_normalize(text)) - strlen(replace(nfc_normalize(text), 'th', ''))) // 2)::INT AS n FROM documents)""")
+def encode_late_rules(spark, d):
+    out = encoding.encode(docs(spark, d).select("doc_id", "text"), _late_model())
+    return out.select("doc_id", F.size("ids").alias("n_ids"), F.size(F.filter("ids", lambda i: i == 1256)).alias("n_merged"))
+
+
 @query(ORACLE_SQL["encode_fixed_model"])
 def encode_fixed_model_fold(spark, d):
     out = encoding.encode_fold(docs(spark, d), "doc_id", "text", encoding.byte_ids(F.col("run")), list(RULES))

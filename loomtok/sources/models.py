@@ -1,7 +1,9 @@
 """Model files: one JSON document, the vocabulary and merges pair, Parquet tables.
 
 In files the byte b of a token is spelled as the one character U+0100 + b;
-special tokens, and all tokens of the character level, are spelled as they are.
+special tokens, and all tokens of the character level but single bytes, are
+spelled as they are. A byte of the character level whose spelling is that of
+another token has a NUL in front.
 """
 
 from __future__ import annotations
@@ -9,7 +11,7 @@ from __future__ import annotations
 import json
 import os
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomtok.config import SPECIAL_ORDER, VERSION, EncodingMode, LoadError, SaveError, SpecialTokensConfig, TokenizerConfig
@@ -23,14 +25,36 @@ JSON_SCHEMA = (
 
 
 def spell(model: Model, i: int) -> str:
-    raw = model.kinds[i] == "special" or model.config.encoding_mode is EncodingMode.CHAR_LEVEL and model.kinds[i] != "byte"
-    return model.tokens[i].decode() if raw else "".join(chr(256 + b) for b in model.tokens[i])
+    token, char_level = model.tokens[i], model.config.encoding_mode is EncodingMode.CHAR_LEVEL
+    if model.kinds[i] == "special" or char_level and model.kinds[i] != "byte":
+        return token.decode()
+    mapped = "".join(chr(256 + b) for b in token)
+    return f"\0{mapped}" if char_level and mapped.encode() in model.ids else mapped
 
 
 def unspell(text: str) -> bytes:
     return bytes(ord(c) - 256 for c in text) if text and all(256 <= ord(c) < 512 for c in text) else text.encode()
 
 
+def _token(text: str, char_level: bool, single: set[str]) -> bytes:
+    """The bytes of a token that isn't special; single: the spellings that the file has for bytes."""
+    if not char_level:
+        return unspell(text)
+    return unspell(text.removeprefix("\0")) if text in single else text.encode()
+
+
+def _single_bytes(vocab: dict[str, int]) -> set[str]:
+    """Spellings of single bytes in a file of the character level: bytes are the 256 values, less those that are characters, at the end of the vocabulary."""
+    out: set[str] = set()
+    for b in range(256):
+        mapped = chr(256 + b)
+        if f"\0{mapped}" in vocab:
+            out.add(f"\0{mapped}")
+        elif mapped in vocab and not (b < 128 and chr(b) in vocab):
+            out.add(mapped)
+    return out
+
+
 def to_document(model: Model) -> dict:
     vocab = {spell(model, i): i for i in range(len(model.tokens))}
     return {
@@ -50,10 +74,13 @@ def _from_maps(vocab: dict[str, int], merges: list[tuple[str, str, int | None]],
     named = dict(config.special_tokens.configured())
     tokens, kinds = [], []
     made = {n for *_, n in merges if n is not None}
+    char_level = config.encoding_mode is EncodingMode.CHAR_LEVEL
+    single = _single_bytes(vocab) if char_level else set()
     for i in range(len(by_id)):
         special = by_id[i] in named.values()
-        tokens.append(by_id[i].encode() if special else unspell(by_id[i]))
-        kinds.append("special" if special else "merge" if i in made else "byte" if len(tokens[-1]) == 1 else "char")
+        tokens.append(by_id[i].encode() if special else _token(by_id[i], char_level, single))
+        byte = by_id[i] in single if char_level else len(tokens[-1]) == 1
+        kinds.append("special" if special else "merge" if i in made else "byte" if byte else "char")
     rules = []
     for a, b, n in merges:
         if a not in vocab or b not in vocab:
@@ -166,8 +193,17 @@ def lines_to_merges(lines: DataFrame, vocab: DataFrame) -> DataFrame:
 
 
 def read_text(spark: SparkSession, path: str, whole: bool = True) -> DataFrame:
-    """doc_id, text: one document a file, or a line."""
-    return spark.read.text(path, wholetext=whole).select(F.monotonically_increasing_id().alias("doc_id"), F.col("value").alias("text"))
+    """doc_id, text: one document a file, or a line.
+
+    Files are numbered by path, from 0, and lines within their file, so that ids
+    don't depend on how files are split; a file has at most 2^40 lines.
+    """
+    rows = spark.read.text(path, wholetext=whole).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("part"), F.col("value").alias("text"))
+    files = rows.select("file").distinct().select("file", (F.row_number().over(Window.orderBy("file")) - 1).cast("long").alias("n"))  # a row a file
+    if whole:
+        return rows.join(files, "file").select(F.col("n").alias("doc_id"), "text")
+    line = (F.row_number().over(Window.partitionBy("file").orderBy("at", "part")) - 1).cast("long")
+    return rows.withColumn("line", line).join(files, "file").select((F.shiftleft("n", 40) + F.col("line")).alias("doc_id"), "text")
 
 
 def write_ids(df: DataFrame, path: str, column: str = "ids") -> None:

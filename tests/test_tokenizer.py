@@ -156,6 +156,57 @@ def test_char_level(spark):
     assert h.decode(h.encode("日")) == "日"
 
 
+def test_late_rules_reach_short_runs():
+    base = Model.untrained(TokenizerConfig())
+    pairs = [(a, b) for a in range(9) for b in range(112)][:1000] + [(97, 98)]
+    m = Model(base.config, base.tokens + [bytes(p) for p in pairs], base.kinds + ["merge"] * 1001, [(a, b, 256 + i) for i, (a, b) in enumerate(pairs)], {})
+    assert Tokenizer(model=m).encode("ab ab abc") == [1256, 32, 1256, 32, 1256, 99]
+
+
+def plain_lowest_first(ids, rules):
+    while ranked := [(rules[p][0], p) for p in zip(ids, ids[1:], strict=False) if p in rules]:
+        pair, out, i = min(ranked)[1], [], 0
+        while i < len(ids):
+            hit = tuple(ids[i : i + 2]) == pair
+            out.append(rules[pair][1] if hit else ids[i])
+            i += 1 + hit
+        ids = out
+    return ids
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.integers(0, 3), max_size=16), st.lists(st.tuples(st.integers(0, 9), st.integers(0, 9)), unique=True, max_size=12))
+def test_lowest_first_is_that_of_plain_loops(ids, pairs):
+    rules = {p: (rank, 4 + rank) for rank, p in enumerate(pairs)}
+    assert encoding.lowest_first(ids, rules) == plain_lowest_first(ids, rules)
+
+
+def test_a_long_run_takes_seconds():
+    import random
+    import time
+
+    pick, rules = random.Random(0), {(a, b): (50 * a + b, 50 + 50 * a + b) for a in range(50) for b in range(50)}
+    began = time.time()
+    assert len(encoding.lowest_first([pick.randrange(50) for _ in range(200_000)], rules)) < 200_000
+    assert time.time() - began < 30
+
+
+def test_char_level_files(spark, tmp_path):
+    t = Tokenizer.builder().vocab_size(60).encoding_mode(EncodingMode.CHAR_LEVEL).build().train(spark, "łódź łódź Bń D Ł")
+    t.save(str(tmp_path))
+    again = Tokenizer.load(str(tmp_path))
+    assert again.model.tokens == t.model.tokens and again.model.kinds == t.model.kinds and again.model.merges == t.model.merges
+    assert again.encode("łódź D") == t.encode("łódź D") and again.decode(t.encode("łódź Bń")) == "łódź Bń"
+
+
+def test_text_files(spark, tmp_path):
+    for name, text in (("b.txt", "three\nfour"), ("a.txt", "one\ntwo")):
+        (tmp_path / name).write_text(text)
+    assert sorted(map(tuple, models.read_text(spark, f"file://{tmp_path}").collect())) == [(0, "one\ntwo"), (1, "three\nfour")]
+    lines = sorted(map(tuple, models.read_text(spark, f"file://{tmp_path}", whole=False).collect()))
+    assert lines == [(0, "one"), (1, "two"), (1 << 40, "three"), ((1 << 40) + 1, "four")]
+
+
 def test_vocabulary(spark):
     rows = vocabulary.special_rows(spark, SpecialTokensConfig(eos="</s>", pad="<p>"))
     v = vocabulary.add_tokens(vocabulary.empty(spark), rows.select("token", "ord"))
