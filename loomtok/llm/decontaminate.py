@@ -63,8 +63,8 @@ class Matcher:
         if pieces:
             self.pieces.make_automaton()
 
-    def __call__(self, text: str | None) -> list[tuple[object, int, int]]:
-        """(item id, distance, first word after the match) of each item that the text holds, best match each."""
+    def __call__(self, text: str | None) -> list[tuple[object, int, int, int]]:
+        """(item id, distance, first word after the match, words of the item) of each item that the text holds, best match each."""
         if not text or not self.items:
             return []
         plain = b" ".join(text.lower().encode().translate(_PLAIN).split()).decode("latin-1")
@@ -86,7 +86,7 @@ class Matcher:
                 got = myers(item, words[low : first - offset + len(item) + k], k)
                 if got and (n not in best or (got[0], low + got[1]) < best[n]):
                     best[n] = (got[0], low + got[1])
-        return [(self.items[n][0], d, e) for n, (d, e) in sorted(best.items())]
+        return [(self.items[n][0], d, e, len(self.items[n][1])) for n, (d, e) in sorted(best.items())]
 
 
 def item_blocks(items: DataFrame, block: int = BLOCK) -> Iterator[list[tuple[object, str]]]:
@@ -105,7 +105,7 @@ def item_blocks(items: DataFrame, block: int = BLOCK) -> Iterator[list[tuple[obj
 def matches(docs: DataFrame, items: DataFrame, errors: float = ERRORS) -> DataFrame:
     """doc_id, item_id, distance, end_word, item_words: a row for each item that a row of docs holds.
 
-    Null and empty texts hold nothing; rows of docs with one id give rows each;
+    Items that share an id and not a text are items each. Null and empty texts hold nothing; rows of docs with one id give rows each;
     without items there are no rows; other columns are ignored.
     """
     kind = docs.select("doc_id").schema.add(items.schema["item_id"]).add("distance", "integer").add("end_word", "long").add("item_words", "integer")
@@ -115,9 +115,8 @@ def matches(docs: DataFrame, items: DataFrame, errors: float = ERRORS) -> DataFr
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             find = Matcher(shared.value, errors)
-            sizes = {i: len(w) for i, w, _ in find.items}
             for batch in batches:
-                rows = [(n, *hit, sizes[hit[0]]) for n, x in enumerate(batch.column("text").to_pylist()) for hit in find(x)]
+                rows = [(n, *hit) for n, x in enumerate(batch.column("text").to_pylist()) for hit in find(x)]
                 n, *cols = zip(*rows, strict=True) if rows else ((),) * 5
                 kinds = [pa.int64() if f.dataType.simpleString() == "bigint" else pa.int32() if f.dataType.simpleString() == "int" else None for f in kind.fields[1:]]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(n, pa.int64())), *(pa.array(c, k) if k else pa.array(c, pa.string()) for c, k in zip(cols, kinds, strict=True))], names=kind.names)

@@ -176,6 +176,7 @@ def mask(docs: DataFrame) -> DataFrame:
     def end(acc: Column) -> Column:
         return F.concat(F.array_join(acc["out"], ""), F.substring(F.col("text"), acc["at"] + 1, F.length("text")))
 
-    hit = docs.where(some).select("*", *key(F.col("text"))).join(spans.select(*names, ordered.alias("__spans")), names, "left")
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__doc")  # other columns may have any names
+    hit = docs.where(some).select(whole, "text", *key(F.col("text"))).join(spans.select(*names, ordered.alias("__spans")), names, "left")
     masked = F.when(F.col("__spans").isNotNull(), F.aggregate("__spans", first, step, end)).otherwise(F.col("text"))
-    return docs.where(~some).union(hit.select(*(masked.alias(c) if c == "text" else F.col(c) for c in docs.columns)))
+    return docs.where(~some).union(hit.select(*(masked.alias(c) if c == "text" else F.col("__doc")[c].alias(c) for c in docs.columns)))

@@ -155,6 +155,12 @@ def score(docs: DataFrame, model: RuleEnsemble) -> DataFrame:
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
+def keep(docs: DataFrame, model: RuleEnsemble) -> DataFrame:
+    """The rows of docs, with their own columns whatever their names, that the model predicts to be of label 1."""
+    rows = statistics(docs.select("text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__doc")), "__doc")
+    return rows.where(model.column() >= THRESHOLD).select("__doc.*")
+
+
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of docs.
 

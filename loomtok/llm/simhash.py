@@ -177,13 +177,3 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, differ: int = DIFFE
     of = named.join(least, "root").select(F.col("fp").bitwiseXOR(F.lit(0)).alias("fp"), "component_id")
     return rows.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
-
-def keep_one(docs: DataFrame, shingle: int = SHINGLE, differ: int = DIFFER) -> DataFrame:
-    """The rows of docs, all columns, of the least id of each group of near duplicates.
-
-    An id names one document: of rows that share an id one stays. Rows without
-    id can't be told apart, and stay.
-    """
-    kept = near_duplicates(docs, shingle, differ).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept.withColumnRenamed("doc_id", "__kept"), F.col("doc_id") == F.col("__kept"), "left_semi")
-    return named.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))

@@ -63,7 +63,7 @@ def test_empty_tables(spark, empty, labels, data):
     assert pii.detect(empty).count() == 0 and pii.mask(empty).count() == 0
     assert quality_classifier.classify(empty, labels).count() == 0
     assert substring_dedup.remove_repeats(empty).count() == 0
-    assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_one(empty).count() == 0
+    assert simhash.near_duplicates(empty).count() == 0
     pages = spark.createDataFrame([], "page_id long, url string")
     assert url_rules.judge(pages, labels).count() == 0
 
@@ -191,6 +191,22 @@ def test_decontamination(spark, edge, docs, data):
     assert got >= plain and len(got) < len(plain) + 20
 
 
+def test_items_that_share_an_id(spark):
+    table = spark.createDataFrame([(1, "alpha beta gamma delta"), (1, "one two three four five six")], "item_id long, text string")
+    rows = spark.createDataFrame([(7, "so alpha beta gamma delta"), (8, "one two three four five six it is")], "doc_id long, text string")
+    same([(r.doc_id, r.item_words) for r in decontaminate.matches(rows, table).where("distance = 0").collect()], [(7, 4), (8, 6)])
+
+
+def test_kept_documents_have_their_own_columns(spark, edge, labels, docs):
+    model = quality_classifier.fit(docs, labels)
+    out = quality_classifier.keep(edge.withColumn("__n_words", F.lit(5)), model)
+    assert out.columns == [*edge.columns, "__n_words"] and all(r.score == "z" and r.predicted == "z" for r in out.collect())
+    predicted = quality_classifier.score(edge.select("doc_id", "text"), model).where("predicted = 1").count()
+    assert out.count() == predicted
+    masked = pii.mask(edge.withColumn("__h", F.lit("x")))
+    assert masked.columns == [*edge.columns, "__h"] and masked.where("__h = 'x'").count() == edge.count()
+
+
 def test_decontamination_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate.item_blocks, "__defaults__", (30,))
     table = spark.createDataFrame([(i, f"item number {i} has these words {i * 7}") for i in range(5)], "item_id long, text string")
@@ -466,8 +482,6 @@ def test_simhash(both, edge, texts):
             least[root[f]].append(i)
     want = [(i, f"{f:016x}", min(least[root[f]], default=None)) for (i, _), f in zip(texts, fps, strict=True)]
     same([(r.doc_id, r.fingerprint, r.component_id) for r in simhash.near_duplicates(both).collect()], want)
-    kept = [r.doc_id for r in simhash.keep_one(edge).collect()]
-    assert kept.count(None) == 2 and kept.count(1) == 1 and 2 not in kept
 
 
 @pytest.mark.parametrize("heavy", [2, 1000])
