@@ -17,7 +17,8 @@ from loomtok.llm.common import ascii_lower
 
 #: (host, path, verdict)
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
-SUPPORT, CONFIDENCE, LIFT = 0.004, 0.6, 1.5
+#: Support as a share and in pages at least, confidence and lift of a mined rule.
+SUPPORT, PAGES, CONFIDENCE, LIFT = 0.004, 10, 0.6, 1.5
 _BAD = "y:bad"
 
 
@@ -47,19 +48,24 @@ def tokens(host: Column, path: Column, query: Column) -> Column:
 
 
 def mine(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """rule_id, items, rarest: token sets whose pages are bad with enough support, confidence and lift.
+    """rule_id, items, rarest: token sets whose pages are bad with enough support, confidence and lift, and that hold no smaller such set.
 
     pages: id and items. A page is bad where a label of its id says toxic or not quality.
     """
     judged = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("id")).agg(F.max(((F.col("toxic") == 1) | (F.col("quality") == 0)).cast("int")).alias("bad"))
     known = pages.where(F.col("id").isNotNull() & (F.size("items") > 0)).join(judged.where("bad is not null"), "id")
     baskets = known.select(F.when(F.col("bad") == 1, F.concat("items", F.array(F.lit(_BAD)))).otherwise(F.col("items")).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=SUPPORT, minConfidence=CONFIDENCE).fit(baskets)
+    support = min(1.0, max(SUPPORT, PAGES / max(1, baskets.count())))
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=CONFIDENCE).fit(baskets)
     found = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == _BAD) & (F.col("lift") >= LIFT))
     single = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("item"), F.col("freq"))
     sets = found.select(F.array_sort("antecedent").alias("items")).select(F.xxhash64("items").alias("rule_id"), "items")
     rarest = sets.select("rule_id", "items", F.explode("items").alias("item")).join(single, "item").groupBy("rule_id").agg(F.first("items").alias("items"), F.min_by("item", F.struct("freq", "item")).alias("rarest"))
-    return rarest.where(F.size("items") > 0)
+    rules = rarest.where(F.size("items") > 0)
+    # what a smaller rule blocks needs no larger one
+    less = rules.select(F.col("rarest").alias("item"), F.col("items").alias("fewer"))
+    within = rules.select("rule_id", "items", F.explode("items").alias("item")).join(less, "item").where((F.size("fewer") < F.size("items")) & (F.size(F.array_except("fewer", "items")) == 0))
+    return rules.join(within.select("rule_id").distinct(), "rule_id", "left_anti")
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules: tuple = RULES) -> DataFrame:

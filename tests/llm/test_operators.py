@@ -162,6 +162,14 @@ def test_mined_url_rules(spark):
     assert all((r.verdict == "block") == (r.page_id % 4 == 0) for r in got)
 
 
+def test_rules_have_pages_and_no_smaller_rule(spark):
+    rows = [(i, ["a", "b"] if i % 3 == 0 else ["c", f"d{i}"]) for i in range(90)]
+    marks = spark.createDataFrame([(i, 0 if i % 3 == 0 or i == 1 else 1, 0) for i in range(90)], "doc_id long, quality int, toxic int")
+    got = [r["items"] for r in url_rules.mine(spark.createDataFrame(rows, "id long, items array<string>"), marks).collect()]
+    assert sorted(got) == [["a"], ["b"]]  # not [a, b], and not d1, which one page has
+    assert url_rules.mine(spark.createDataFrame(rows, "id long, items array<string>"), marks.where("false")).count() == 0
+
+
 def test_myers():
     rng = np.random.default_rng(0)
     for _ in range(300):
