@@ -2,8 +2,9 @@
 
 What grows with the corpus is counted on the cluster: words with partial
 counts, and characters with their first place. Each merge depends on the one
-before, so the loop runs on the driver, over distinct words only, whose number
-is checked; an index from pairs to words keeps a merge from visiting others.
+before, so the loop runs on the driver, over the counts of pairs. The distinct
+words are ids in flat arrays (words.py), which stay on the cluster where they
+are many; a merge brings the changes of the counts of pairs, and nothing else.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +23,7 @@ from pyspark.sql import functions as F
 
 from loomtok.config import DIVERSITY_WEIGHT, ENTROPY_WEIGHT, FREQUENCY_WEIGHT, RECOUNT, InvalidConfigError, TokenizerConfig, TrainingConfig
 from loomtok.model import Model
+from loomtok.operators.words import Local, Spread, block, gather
 
 #: str.split() also splits at these, which aren't white space.
 _CONTROLS = re.compile("[\x1c-\x1f]")
@@ -59,8 +62,9 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out("c", chars)
 
 
-def corpus_counts(docs: DataFrame, config: TrainingConfig) -> tuple[list[tuple[str, int]], list[str], dict[str, int]]:
-    """Words with counts, characters by first appearance, and character counts.
+@contextmanager
+def corpus_counts(docs: DataFrame, config: TrainingConfig) -> Iterator[tuple[DataFrame, list[str], dict[str, int]]]:
+    """Words with counts (key, n), characters by first appearance, and character counts.
 
     The training text is the documents by doc_id, with a line feed between
     them; rows without id or text aren't part of it.
@@ -70,24 +74,23 @@ def corpus_counts(docs: DataFrame, config: TrainingConfig) -> tuple[list[tuple[s
     sums = parts.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.min(F.struct("doc", "pos")).alias("at"))
     sums = sums.where((F.col("kind") == "c") | (F.col("n") >= config.min_word_count)).persist()
     try:
-        if (n := sums.where("kind = 'w'").count()) > config.max_words:
-            raise InvalidConfigError(f"{n} distinct words; the driver takes {config.max_words}: set min_word_count or max_words")
-        words = [(r.key, r.n) for r in sums.where("kind = 'w'").select("key", "n").toLocalIterator()]
+        if config.max_words is not None and (n := sums.where("kind = 'w'").count()) > config.max_words:
+            raise InvalidConfigError(f"{n} distinct words; max_words is {config.max_words}: set min_word_count or max_words")
         chars = sums.where("kind = 'c'").select("key", "n", "at").collect()
         edge = rows.agg(F.min(F.struct("doc_id", F.length("text").alias("n"))).alias("first"), F.count("*").alias("n")).first()
+        places = {r.key: (r["at"].doc, r["at"].pos) for r in chars}
+        counts = {r.key: r.n for r in chars}
+        if edge.n > 1:
+            counts["\n"] = counts.get("\n", 0) + edge.n - 1
+            between = (edge.first.doc_id, edge.first.n)
+            places["\n"] = min(places.get("\n", between), between)
+        yield sums.where("kind = 'w'").select("key", "n"), sorted(places, key=places.get), counts
     finally:
         sums.unpersist()
-    places = {r.key: (r["at"].doc, r["at"].pos) for r in chars}
-    counts = {r.key: r.n for r in chars}
-    if edge.n > 1:
-        counts["\n"] = counts.get("\n", 0) + edge.n - 1
-        between = (edge.first.doc_id, edge.first.n)
-        places["\n"] = min(places.get("\n", between), between)
-    return words, sorted(places, key=places.get), counts
 
 
 class MergeLoop:
-    """Chooses merges over words as lists of token ids, with their counts.
+    """Chooses merges over words, as blocks or as lists of token ids with their counts.
 
     A pair is one number, left << 32 | right. Between recounts at most RECOUNT
     merges are taken, so a rebuilt queue holds the best HELD pairs first, and
@@ -96,8 +99,9 @@ class MergeLoop:
 
     HELD = 3_000
 
-    def __init__(self, words: list[list[int]], counts: list[int], tokens: list[str], entropy: dict[str, float], config: TrainingConfig) -> None:
-        self.words, self.counts, self.tokens, self.config = words, counts, list(tokens), config
+    def __init__(self, words: Local | Spread | list[list[int]], counts: list[int] | None, tokens: list[str], entropy: dict[str, float], config: TrainingConfig) -> None:
+        self.words = Local([block(words, counts)]) if isinstance(words, list) else words
+        self.tokens, self.config = list(tokens), config
         self.ids = {t: i for i, t in enumerate(self.tokens)}
         self.char_entropy = {k: np.float32(v) for k, v in entropy.items()}
         self.entropy = np.zeros(max(1024, 2 * len(tokens)), np.float32)
@@ -105,10 +109,12 @@ class MergeLoop:
             self._set_entropy(i, t)
         self.merges: set[int] = set()
         self.near: dict[int, np.float32] = {}
-        self._index()
+        pairs, _, weights = self.words.pair_counts()
+        self.exact: dict[int, int] = defaultdict(int, zip(pairs.tolist(), weights.tolist(), strict=True))
         self.drift = dict(self.exact)
         self.rebuild()
-        self._contexts()  # after the first queue: its scores have no diversity
+        # after the first queue: its scores have no diversity, the ln(1 + distinct pairs one or two places away in a word)
+        self.near = dict(zip(pairs.tolist(), np.log1p(self.words.diversity(pairs).astype(np.float32)), strict=True))
 
     def _set_entropy(self, i: int, token: str) -> None:
         if i >= len(self.entropy):
@@ -118,37 +124,6 @@ class MergeLoop:
             total += self.char_entropy.get(ch, np.float32(0))
         self.entropy[i] = total / np.float32(len(token) or 1)
 
-    def _index(self) -> None:
-        """Exact pair counts, and the words of each pair."""
-        length = np.fromiter(map(len, self.words), np.int64, len(self.words))
-        flat = np.fromiter((x for w in self.words for x in w), np.int64, int(length.sum()))
-        row = np.repeat(np.arange(len(length)), length)
-        inner = np.flatnonzero(row[1:] == row[:-1])
-        self._codes, self._rows = flat[inner] << 32 | flat[inner + 1], row[inner]
-        order = np.argsort(self._codes, kind="stable")
-        codes, at = np.unique(self._codes[order], return_index=True)
-        rows = self._rows[order]
-        weights = np.array(self.counts, np.int64)[rows]
-        sums = np.add.reduceat(weights, at) if len(at) else weights
-        self.exact: dict[int, int] = defaultdict(int, zip(codes.tolist(), sums.tolist(), strict=True))
-        self.where: dict[int, np.ndarray] = dict(zip(codes.tolist(), np.split(rows, at[1:]), strict=True))
-        self.later: dict[int, list[int]] = defaultdict(list)  # words of pairs that merges made
-
-    def _contexts(self) -> None:
-        """ln(1 + distinct pairs one or two places away in a word), both ways."""
-        a, b = [], []
-        for k in (1, 2):
-            same = np.flatnonzero(self._rows[k:] == self._rows[:-k])
-            a += [self._codes[same], self._codes[same + k]]
-            b += [self._codes[same + k], self._codes[same]]
-        if a and len(a[0]):
-            kinds, at = np.unique(np.concatenate(a + b), return_inverse=True)
-            half = len(at) // 2
-            both = np.unique(at[:half].astype(np.int64) * len(kinds) + at[half:]) // len(kinds)
-            n = np.bincount(both, minlength=len(kinds))
-            self.near = dict(zip(kinds.tolist(), np.log1p(n.astype(np.float32)), strict=True))
-        del self._codes, self._rows
-
     def priorities(self, pairs: np.ndarray, counts: np.ndarray) -> np.ndarray:
         f = np.float32
         both = (self.entropy[pairs >> 32] + self.entropy[pairs & 0xFFFFFFFF]) / f(2)
@@ -193,39 +168,12 @@ class MergeLoop:
 
     def apply(self, left: int, right: int, new: int) -> dict[int, int]:
         """Merges the pair in every word that has it; changes of neighbouring pairs, once for each distinct word."""
-        changes: dict[int, int] = defaultdict(int)
-        exact, later, words, counts = self.exact, self.later, self.words, self.counts
-        code = left << 32 | right
-        affected = {*self.where.pop(code, np.zeros(0, np.int64)).tolist(), *later.pop(code, ())}
-        for n in affected:
-            word, out, i, hits = words[n], [], 0, 0
-            size, count = len(word), counts[n]
-            while i < size:
-                x = word[i]
-                while x == left and i + 1 < size and word[i + 1] == right:
-                    hits += 1
-                    if out:
-                        gone, come = out[-1] << 32 | x, out[-1] << 32 | new
-                        changes[gone] -= 1
-                        changes[come] += 1
-                        exact[gone] -= count
-                        exact[come] += count
-                        later[come].append(n)
-                    i += 1
-                    if i + 1 < size:
-                        gone, come = right << 32 | word[i + 1], new << 32 | word[i + 1]
-                        changes[gone] -= 1
-                        changes[come] += 1
-                        exact[gone] -= count
-                        exact[come] += count
-                        later[come].append(n)
-                    x = new  # looked at again, with its new neighbour
-                out.append(x)
-                i += 1
-            if hits:
-                exact[code] -= hits * count
-                words[n] = out
-        return changes
+        pairs, places, weights = (x.tolist() for x in self.words.merge(left, right, new))
+        for pair, weight in zip(pairs, weights, strict=True):
+            self.exact[pair] += weight
+        out = dict(zip(pairs, places, strict=True))
+        out.pop(left << 32 | right, None)  # has its merge
+        return out
 
     def run(self) -> list[tuple[int, int, int]]:
         """(l, r, new id) in order of rank; self.tokens grows with them."""
@@ -267,12 +215,15 @@ class MergeLoop:
 def fit(docs: DataFrame, config: TokenizerConfig, training: TrainingConfig | None = None) -> Model:
     """Trains on docs (doc_id, text): characters, merges, missing bytes, then special tokens, in this order of ids."""
     training = training or TrainingConfig(config.vocab_size, config.min_frequency, weighted_deltas=config.canonical)
-    words, chars, counts = corpus_counts(docs, training)
+    with corpus_counts(docs, training) as (keys, chars, counts):
+        words = gather(keys, {c: i for i, c in enumerate(chars)}, max(training.vocab_size, len(chars)))
     total = sum(counts.values())
     entropy = {c: -(n / total) * math.log2(n / total) for c, n in counts.items()}
-    at = {c: i for i, c in enumerate(chars)}
-    loop = MergeLoop([[at[c] for c in w] for w, _ in words], [n for _, n in words], chars, entropy, training)
-    merges = loop.run()
+    try:
+        loop = MergeLoop(words, None, chars, entropy, training)
+        merges = loop.run()
+    finally:
+        words.close()
     tokens = [t.encode() for t in loop.tokens]
     kinds = ["char"] * len(chars) + ["merge"] * (len(tokens) - len(chars))
     have = set(tokens)
