@@ -168,13 +168,23 @@ class MergeLoop:
 
     def apply(self, left: int, right: int, new: int) -> dict[int, int]:
         """Merges the pair in every word that has it; changes of neighbouring pairs, once for each distinct word."""
-        pairs, places, weights = (x.tolist() for x in self.words.merge(left, right, new))
+        pairs, places, weights = (x.tolist() for x in self.words.merge(left, right, new, self.next))
         for pair, weight in zip(pairs, weights, strict=True):
             self.exact[pair] += weight
         out = dict(zip(pairs, places, strict=True))
         out.pop(left << 32 | right, None)  # has its merge
         return out
 
+    def next(self, n: int) -> list[tuple[int, int, int]]:
+        """The merges that come next, if no count changes."""
+        out, made = [], {}
+        for p, pair in heapq.nsmallest(4 * n, self.heap):
+            if self.current.get(-pair) == -p and -pair not in self.merges and len(out) < n:
+                text = self.tokens[-pair >> 32] + self.tokens[-pair & 0xFFFFFFFF]
+                new = self.ids.get(text)
+                out.append((-pair >> 32, -pair & 0xFFFFFFFF, made.setdefault(text, len(self.tokens) + len(made)) if new is None else new))
+        return list(dict.fromkeys(out))  # a pair may be in the heap twice
+
     def run(self) -> list[tuple[int, int, int]]:
         """(l, r, new id) in order of rank; self.tokens grows with them."""
         out: list[tuple[int, int, int]] = []

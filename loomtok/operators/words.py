@@ -17,13 +17,15 @@ from pyspark.sql import functions as F
 
 #: Token ids of a block, bytes of ids that the driver takes, and ids that a task takes.
 BLOCK, DRIVER_BYTES, TASK = 1 << 19, 48 << 20, 1 << 21
-#: Merges after which the blocks on the cluster are written anew, and how many times before their lineage is cut.
-REFRESH, CUT = 20, 10
+#: Merges after which the blocks on the cluster are written anew, how many times before their lineage is cut, and merges that a job tries.
+REFRESH, CUT, AHEAD = 8, 25, 6
 
 #: Token ids and counts.
 Block = tuple[np.ndarray, np.ndarray]
 #: Pairs in order, in how many places of distinct words each came or went, and the same by the words' counts.
 Changes = tuple[np.ndarray, np.ndarray, np.ndarray]
+#: Left, right and new id.
+Merge = tuple[int, int, int]
 
 
 def id_type(most: int) -> type:
@@ -42,8 +44,7 @@ def block(words: list[list[int]], counts: Iterable[int], dtype: type = np.uint32
 
 def places(tokens: np.ndarray, left: int, right: int) -> np.ndarray:
     """Where the pair is merged: from the left, no two places overlap."""
-    at = np.flatnonzero(tokens[:-1] == left)
-    at = at[tokens[at + 1] == right]
+    at = np.flatnonzero((tokens[:-1] == left) & (tokens[1:] == right))
     if left == right and len(at):
         heads = np.flatnonzero(np.diff(at, prepend=at[0] - 2) != 1)
         nth = np.arange(len(at)) - np.repeat(heads, np.diff(heads, append=len(at)))
@@ -59,7 +60,7 @@ def merged(tokens: np.ndarray, at: np.ndarray, new: int) -> np.ndarray:
     return out
 
 
-def replay(tokens: np.ndarray, merges: list[tuple[int, int, int]]) -> np.ndarray:
+def replay(tokens: np.ndarray, merges: list[Merge]) -> np.ndarray:
     for left, right, new in merges:
         tokens = merged(tokens, places(tokens, left, right), new)
     return tokens
@@ -133,7 +134,7 @@ class Local:
         """In how many contexts each of these pairs is."""
         return np.bincount(contexts(self.blocks, kinds) // max(1, len(kinds)), minlength=len(kinds))
 
-    def merge(self, left: int, right: int, new: int) -> Changes:
+    def merge(self, left: int, right: int, new: int, guess: Callable[[int], list[Merge]]) -> Changes:  # noqa: ARG002
         parts = []
         for i, (tokens, counts) in enumerate(self.blocks):
             if len(at := places(tokens, left, right)):
@@ -150,14 +151,15 @@ def _of(rows: Iterator[tuple[bytes, bytes]], dtype: type) -> Iterator[Block]:
 
 
 class Spread:
-    """Blocks in the storage of the executors. Each merge is a job; those since the last refresh are replayed in it."""
+    """Blocks in the storage of the executors. A job tries some merges; those since the last refresh are replayed in it."""
 
     def __init__(self, packed: DataFrame, dtype: type, ids: int) -> None:
         self.packed, self.dtype = packed, dtype
         rows = packed.rdd.map(lambda r: (bytes(r.tokens), bytes(r.counts)))
         tasks = max(packed.sparkSession.sparkContext.defaultParallelism, -(-ids // TASK))
         self.rdd: RDD = rows.coalesce(tasks).persist(StorageLevel.MEMORY_AND_DISK)
-        self.pending: list[tuple[int, int, int]] = []
+        self.pending: list[Merge] = []
+        self.known: list[tuple[Merge, Changes]] = []
         self.refreshed = 0
         self.rdd.count()
 
@@ -183,21 +185,34 @@ class Spread:
         self.packed.unpersist()  # the blocks have been counted, and so are held apart
         return n
 
-    def merge(self, left: int, right: int, new: int) -> Changes:
+    def merge(self, left: int, right: int, new: int, guess: Callable[[int], list[Merge]]) -> Changes:
+        """The changes by a merge. `guess` tells what merges may follow; the same job tries them, and what comes otherwise is asked for anew."""
+        if not self.known or self.known[0][0] != (left, right, new):
+            tried = [(left, right, new), *guess(AHEAD - 1)]
+            self.known = list(zip(tried, self._try(tried), strict=True))
+        merge, out = self.known.pop(0)
+        self.pending.append(merge)
+        if len(self.pending) >= REFRESH and not self.known:
+            self._refresh()
+        return out
+
+    def _try(self, tried: list[Merge]) -> list[Changes]:
+        if len(self.pending) >= REFRESH:
+            self._refresh()
         dtype, pending = self.dtype, list(self.pending)
 
-        def run(rows: Iterator[tuple[bytes, bytes]]) -> Iterator[Changes]:
-            parts = []
+        def run(rows: Iterator[tuple[bytes, bytes]]) -> Iterator[list[Changes]]:
+            parts: list[list[Changes]] = [[] for _ in tried]
             for tokens, counts in _of(rows, dtype):
                 tokens = replay(tokens, pending)
-                parts.append(changes(tokens, counts, places(tokens, left, right), left, right, new))
-            yield summed(parts)
-
-        out = summed(self.rdd.mapPartitions(run).collect())  # a few rows for each token next to the pair
-        self.pending.append((left, right, new))
-        if len(self.pending) == REFRESH:
-            self._refresh()
-        return out
+                for part, (left, right, new) in zip(parts, tried, strict=True):
+                    at = places(tokens, left, right)
+                    part.append(changes(tokens, counts, at, left, right, new))
+                    tokens = merged(tokens, at, new)
+            yield [summed(p) for p in parts]
+
+        found = self.rdd.mapPartitions(run).collect()  # a few rows for each token next to the pairs
+        return [summed(list(p)) for p in zip(*found, strict=True)] if found else [summed([])] * len(tried)
 
     def _refresh(self) -> None:
         dtype, pending, old = self.dtype, self.pending, self.rdd

@@ -35,7 +35,7 @@ def test_driver_memory(spark, mode):
 def test_words_on_the_cluster(spark, data, monkeypatch, canonical):
     docs, config = spark.read.parquet(f"{data}/documents.parquet"), TokenizerConfig(vocab_size=240, canonical=canonical)
     here = training.fit(docs, config)
-    for name, value in (("DRIVER_BYTES", 0), ("BLOCK", 20_000), ("TASK", 100_000), ("REFRESH", 9), ("CUT", 3)):
+    for name, value in (("DRIVER_BYTES", 0), ("BLOCK", 20_000), ("TASK", 100_000), ("REFRESH", 9), ("CUT", 3), ("AHEAD", 4)):
         monkeypatch.setattr(words, name, value)
     there = training.fit(docs, config)
     assert len(here.merges) > 120 and there.merges == here.merges and there.tokens == here.tokens
