@@ -11,22 +11,42 @@ from pyspark.sql import functions as F
 from loomtok.llm.common import materialize
 
 
+#: Nodes that a task joins at once.
+NODES = 500_000
+
+
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A spanning forest of each batch of edges (a, b), every node tied to the least of its tree."""
-    for batch in batches:
-        root: dict[int, int] = {}
+    """A spanning forest of the edges (a, b) of a task, every node tied to the least of its tree; beyond NODES, one of each part."""
+    root: dict[int, int] = {}
 
-        def find(x: int, root: dict[int, int] = root) -> int:
-            while (y := root.setdefault(x, x)) != x:
-                root[x] = x = root[y]
-            return x
+    def find(x: int) -> int:
+        while (y := root.setdefault(x, x)) != x:
+            root[x] = x = root[y]
+        return x
 
+    def out() -> pa.RecordBatch:
+        pairs = [(find(x), x) for x in list(root)]
+        pairs = [(a, b) for a, b in pairs if a != b]
+        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    for batch in batches:
         for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
             if (p := find(a)) != (q := find(b)):
                 root[max(p, q)] = min(p, q)
-        pairs = [(find(x), x) for x in root]
-        pairs = [(a, b) for a, b in pairs if a != b]
-        yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], ["a", "b"])
+        if len(root) >= NODES:
+            yield out()
+            root.clear()
+    yield out()
+
+
+def thinned(edges: DataFrame) -> DataFrame:
+    """Fewer edges (a, b) with the same components: a forest of each task's, and of what 32 tasks have left.
+
+    A group whose pairs are all linked has edges by its square; from here on it
+    has some for each node.
+    """
+    some = materialize(edges.where("a <> b").select("a", "b").mapInArrow(_forest, "a long, b long"), "forest")
+    return some.coalesce(max(1, some.rdd.getNumPartitions() // 32)).mapInArrow(_forest, "a long, b long").distinct()
 
 
 def _least(pairs: DataFrame) -> DataFrame:
@@ -40,7 +60,7 @@ def components(edges: DataFrame) -> DataFrame:
     Repeated edges, loops and either direction are fine; no edges give no rows.
     Each round writes its edges to the shared folder.
     """
-    now = materialize(edges.where("a <> b").select("a", "b").mapInArrow(_forest, "a long, b long").distinct(), "edges")
+    now = materialize(thinned(edges), "edges")
     state = None
     while True:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
