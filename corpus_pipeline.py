@@ -28,6 +28,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each group of near copies: word 5-shingles of Jaccard 0.8 or more, exactly.
 
+    SimHash proposes pairs, which are checked; a prefix filter completes them.
     The row of the least id stays, null ids last, any one of those with that id.
     Null, empty and wordless texts are one group. Equal rows are near copies.
     """

@@ -1,16 +1,19 @@
-"""Near copies by the exact Jaccard similarity of word shingles.
-
-A prefix filter finds the candidates: under any one order of all shingles, two
-sets of similarity 4/5 or more share one of the first n - ceil(4n/5) + 1
-shingles of each, n being the size of the set. The order puts shingles that are
-common in a sample last, which changes the cost and not the result. Sketches
-drop candidates that can't be similar, and the others are compared whole. Of
-the sets that share a shingle all are compared with one of them first, and then
-only those pairs that aren't in one component already.
-
-A bit threshold on 64-bit fingerprints would not do: pairs at 0.8 differ by ten
-bits on average and by 16 at times, and partitions for 16 bits make candidates
-of a share of all pairs.
+"""Near copies by SimHash, checked and completed by the exact Jaccard similarity of word shingles.
+
+SimHash comes first: fingerprints of the shingles that differ in at most three
+bits are found by the generalised pigeonhole search of simhash.py, and the texts
+of such a pair are compared whole.
+
+Pairs of similarity 4/5 differ by ten bits of 64 on average and by 16 at times,
+and partitions for 16 bits make candidates of a share of all pairs. So what lies
+beyond three bits is found by a prefix filter: under any one order of all
+shingles, two sets of similarity 4/5 or more share one of the first n -
+ceil(4n/5) + 1 shingles of each, n being the size of the set. The order puts
+shingles that are common in a sample last, which changes the cost and not the
+result. Sketches drop candidates that can't be similar, and the others are
+compared whole. Of the sets that share a shingle all are compared with one of
+them, and then only those pairs that aren't in one component already, by
+SimHash or by that comparison.
 """
 
 from __future__ import annotations
@@ -27,8 +30,11 @@ from pyspark.sql.types import ArrayType, LongType
 
 from loomtok.llm.common import materialize
 from loomtok.llm.components import components
+from loomtok.llm.simhash import links, majority
 
 SHINGLE, SEED = 5, 42
+#: Bits by which fingerprints of near copies may differ.
+DIFFER = 3
 #: Texts of the sample that orders shingles, and the shingles it tells apart.
 SAMPLE, COMMON = 20_000, 200_000
 #: Sets of a block that is compared within itself and with other blocks, and the bits of their sketches there.
@@ -75,7 +81,7 @@ def common_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarr
 
 
 def prefixes(docs: DataFrame, shingle: int) -> DataFrame:
-    """docs with __node (hash of the words), __n (shingles), __prefix (the first of them) and __sketch."""
+    """docs with __node (hash of the words), __n (shingles), __fp (their SimHash), __prefix (the first of them) and __sketch."""
     common, counts = common_shingles(docs, shingle)
 
     def prefix(s: np.ndarray) -> np.ndarray:
@@ -88,10 +94,10 @@ def prefixes(docs: DataFrame, shingle: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingles(x, shingle) for x in batch.column("text").to_pylist()]
-            new = [pa.array([x for x, _ in found], pa.int64()), pa.array([len(s) for _, s in found], pa.int64()), pa.array([prefix(s) if len(s) else [] for _, s in found], pa.list_(pa.int64())), pa.array([sketch(s) for _, s in found], pa.binary())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, "__node", "__n", "__prefix", "__sketch"])
+            new = [pa.array([x for x, _ in found], pa.int64()), pa.array([len(s) for _, s in found], pa.int64()), pa.array([majority(s) for _, s in found], pa.int64()), pa.array([prefix(s) if len(s) else [] for _, s in found], pa.list_(pa.int64())), pa.array([sketch(s) for _, s in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, "__node", "__n", "__fp", "__prefix", "__sketch"])
 
-    schema = docs.select("*").schema.add("__node", "long").add("__n", "long").add("__prefix", ArrayType(LongType())).add("__sketch", "binary")
+    schema = docs.select("*").schema.add("__node", "long").add("__n", "long").add("__fp", "long").add("__prefix", ArrayType(LongType())).add("__sketch", "binary")
     return docs.mapInArrow(run, schema)
 
 
@@ -228,26 +234,38 @@ def possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.distinct().join(one, "a").join(two, "b").select("a", "b", (F.col("na") + F.col("nb")).alias("n"), "s", "t").mapInArrow(run, "a long, b long")
 
 
+def by_fingerprint(nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes that SimHash proposes: of one fingerprint, and the first ones of two that differ in at most DIFFER bits."""
+    prints = materialize(nodes.groupBy("__fp").agg(F.min("__node").alias("first")), "prints")
+    same = nodes.select("__fp", "__node").join(prints, "__fp").where("__node > first").select(F.col("first").alias("a"), F.col("__node").alias("b"))
+    one, two = (prints.select(F.col("__fp").alias(c), F.col("first").alias("f" + c)) for c in "xy")
+    near = links(prints.select(F.col("__fp").alias("fp")), DIFFER).toDF("x", "y").join(one, "x").join(two, "y").select(F.least("fx", "fy").alias("a"), F.greatest("fx", "fy").alias("b"))
+    return same.union(near)
+
+
+def stars(shared: DataFrame) -> DataFrame:
+    """The pairs (a, b) of the least set of each list and the others of like size."""
+    return shared.where("node > first and 5 * n >= 4 * m and 5 * m >= 4 * n").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+
+
 def similar_components(rows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """node, component of each node of rows (as of prefixes(), numbered) that has a near copy with other words."""
     nodes = rows.join(rows.groupBy("__node").agg(F.min("__row").alias("__row")).select("__row"), "__row", "left_semi")
     sets = nodes.select(F.explode("__prefix").alias("token"), F.col("__node").alias("node"), F.col("__n").alias("n"))
-    ends = sets.groupBy("token").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last")
-    shared = materialize(sets.join(materialize(ends.select("token", "first"), "lists"), "token"), "shared")
+    ends = sets.groupBy("token").agg(F.min(F.struct("node", "n")).alias("first"), F.max("node").alias("last")).where("first.node < last")
+    shared = materialize(sets.join(materialize(ends.select("token", F.col("first.node").alias("first"), F.col("first.n").alias("m")), "lists"), "token"), "shared")
 
     def linked(pairs: DataFrame) -> DataFrame:
         left = materialize(possible(pairs, nodes), "candidates")
         held = left.select(F.explode(F.array("a", "b")).alias("__node")).distinct()
         return materialize(verified(left, nodes.select("__node", "text").join(held, "__node", "left_semi"), shingle), "similar")
 
-    sizes = nodes.select(F.col("__node").alias("a"), F.col("__n").alias("m"))
-    star = shared.where("node > first").select(F.col("first").alias("a"), F.col("node").alias("b"), "n").distinct().join(sizes, "a")
-    edges = linked(star.where("5 * n >= 4 * m and 5 * m >= 4 * n").select("a", "b"))
+    edges = linked(by_fingerprint(nodes).union(stars(shared)))
     tree = materialize(components(edges), "tree")
     lists = materialize(mixed_lists(shared, tree), "mixed")
     if lists.isEmpty():
         return tree
-    return components(edges.union(linked(across(shared, lists, tree, nodes))))
+    return components(tree.toDF("a", "b").union(linked(across(shared, lists, tree, nodes))))
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:

@@ -29,8 +29,14 @@ SHINGLE, SEED, DIFFER = 3, 42, 2
 HEAVY = 1_000
 
 
+def majority(hashes: np.ndarray) -> int:
+    """Signed 64 bits: each is 1 if set in over half of these hashes of 64 bits. No hashes: 0."""
+    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return int(np.packbits(2 * bits.sum(0) > len(hashes), bitorder="little").view("<i8")[0])
+
+
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """Signed 64 bits: each is 1 if set in over half the hashes of the shingles. No words: 0."""
+    """The majority of the hashes of the shingles. No words: 0."""
     words = text.encode().lower().split() if text else ()
     if not words:
         return 0
@@ -41,8 +47,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
         ends = list(accumulate(map(len, words), lambda a, n: a + n + 1))
         starts, digest = [0, *(e + 1 for e in ends)], xxhash.xxh64_intdigest
         hashes = [digest(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :], strict=False)]
-    bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    return int(np.packbits(2 * bits.sum(0) > len(hashes), bitorder="little").view("<i8")[0])
+    return majority(np.array(hashes, "<u8"))
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
