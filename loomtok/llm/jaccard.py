@@ -13,13 +13,17 @@ shingles that are common in a sample last, which changes the cost and not the
 result. Sketches drop candidates that can't be similar, and the others are
 compared whole. Of the sets that share a shingle all are compared with one of
 them, and then only those pairs that aren't in one component already, by
-SimHash or by that comparison.
+SimHash or by that comparison. Those go in rounds: of a crowd's pairs a round
+hands on the closest that would join its components, and the next one looks at
+what is left between the components that these have made. So a crowd of near
+copies costs its sets and not its pairs; only pairs that sketches can't tell
+apart, in components that never meet, are compared whole each.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, count
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
 from loomtok.llm.common import materialize
-from loomtok.llm.components import components
+from loomtok.llm.components import components, join, spanning
 from loomtok.llm.simhash import links, majority
 
 SHINGLE, SEED = 5, 42
@@ -41,6 +45,8 @@ SAMPLE, COMMON = 20_000, 200_000
 BLOCK, BRIEF = 1_000, 8_192
 #: Shared shingles listed with a set, by which a pair is handed on once; pairs that meet beyond them come more than once.
 LEAST = 64
+#: Pairs of two blocks that are handed on without a choice, if they aren't more than the sets there; and the growth of both in a round.
+FEW, MORE = 64, 4
 
 
 def shingles(text: str | None, shingle: int = SHINGLE) -> tuple[int, np.ndarray]:
@@ -124,23 +130,39 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     return pairs.distinct().join(one, "a").join(two, "b").select("a", "b", "s", "t").mapInArrow(run, "a long, b long")
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each list, the pairs of two components, of like size, whose brief sketches leave a similarity of 4/5 possible.
+def _chosen(ends: list[tuple[int, int]], forests: int) -> list[int]:
+    """Which of the edges, in order of preference, make up so many forests, each of what the ones before have left."""
+    chosen, rest = [], range(len(ends))
+    for _ in range(forests):
+        root: dict[int, int] = {}
+        joins = [join(root, *ends[e]) for e in rest]
+        chosen += [e for e, new in zip(rest, joins, strict=True) if new]
+        rest = [e for e, new in zip(rest, joins, strict=True) if not new]
+        if not rest:
+            break
+    return chosen
+
+
+def _across(batches: Iterator[pa.RecordBatch], more: int = 1) -> Iterator[pa.RecordBatch]:
+    """Of each list, pairs of two components, of like size, whose brief sketches leave a similarity of 4/5 possible.
 
     A list is one block of the sets that share a shingle, or two, of which only
     pairs across are looked at. Pairs that both hold a lesser shared shingle, as
-    far as it is listed, are left to the list of that one.
+    far as it is listed, are left to the list of that one; pairs known not to be
+    similar are left out. If there are many, `more` forests of the closest ones
+    are taken, and a row without a pair names the shingle, whose list is open.
     """
     for batch in batches:
-        out = [np.zeros((2, 0), np.int64)]
+        out, left_open = [np.zeros((2, 0), np.int64)], []
         for token, x in zip(batch.column("token").to_pylist(), batch.column("sets"), strict=True):
             comp, node, n, block = (x.values.field(k).to_numpy() for k in ("comp", "node", "n", "block"))
             brief = [np.frombuffer(v, "<u8") for v in x.values.field("brief").to_pylist()]
             lesser = [{t for t in v if t < token} for v in x.values.field("least").to_pylist()]
+            unlike = {(a, b) for a, v in zip(node.tolist(), x.values.field("unlike").to_pylist(), strict=True) for b in v or ()}
             width = np.array([len(v) for v in brief])
             first, inner = block == block.min(), block.min() == block.max()
             classes = [(w, side, np.flatnonzero(side & (width == w))) for side in (first, first if inner else ~first) for w in np.unique(width)]
-            half = len(classes) // 2
+            half, found = len(classes) // 2, []
             for wa, _, left in classes[:half]:
                 for wb, _, right in classes[half:]:
                     if not len(left) or not len(right):
@@ -151,13 +173,23 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         rows = left[at : at + step]
                         alike = (comp[rows, None] != comp[right]) & (5 * n[rows, None] >= 4 * n[right]) & (5 * n[right] >= 4 * n[rows, None])
                         r, c = np.nonzero(alike & (node[rows, None] < node[right]) if inner else alike)
-                        apart = np.bitwise_count(one[at + r] ^ two[c]).sum(1, dtype=np.int64)
-                        near = 9 * apart <= n[rows[r]] + n[right[c]]
-                        found = [(i, j) for i, j in zip(rows[r[near]].tolist(), right[c[near]].tolist(), strict=True) if lesser[i].isdisjoint(lesser[j])]
-                        i, j = (node[np.array(part, np.int64)] for part in (zip(*found, strict=True) if found else ((), ())))
-                        out.append(np.stack([np.minimum(i, j), np.maximum(i, j)]))
+                        apart, both = np.bitwise_count(one[at + r] ^ two[c]).sum(1, dtype=np.int64), n[rows[r]] + n[right[c]]
+                        near = 9 * apart <= both
+                        i, j = rows[r[near]], right[c[near]]
+                        a, b = np.minimum(node[i], node[j]).tolist(), np.maximum(node[i], node[j]).tolist()
+                        each = zip((apart[near] / both[near]).tolist(), a, b, comp[i].tolist(), comp[j].tolist(), i.tolist(), j.tolist(), strict=True)
+                        found += [v[:5] for v in each if lesser[v[5]].isdisjoint(lesser[v[6]]) and v[1:3] not in unlike]
+            if len(found) > more * max(FEW, len(node)):
+                found.sort()
+                chosen = _chosen([v[3:] for v in found], more)
+                if len(chosen) < len(found):
+                    left_open.append(token)
+                found = [found[e] for e in chosen]
+            out.append(np.array([v[1:3] for v in found], np.int64).reshape(-1, 2).T)
         a, b = np.unique(np.concatenate(out, 1), axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64())], ["a", "b", "open"])
+        none = pa.nulls(len(left_open), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, pa.array(left_open, pa.int64())], ["a", "b", "open"])
 
 
 def _fold(sketches: np.ndarray, words: int) -> np.ndarray:
@@ -184,8 +216,8 @@ def mixed_lists(shared: DataFrame, tree: DataFrame) -> DataFrame:
     return lists.select("token", F.col("most.comp").alias("main"), F.col("most.n").alias("n_main"), (F.col("n") - F.col("most.n")).alias("n_other"))
 
 
-def across(shared: DataFrame, lists: DataFrame, tree: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) in two components of the tree that may be similar, of those that share a shingle.
+def across(shared: DataFrame, lists: DataFrame, tree: DataFrame, nodes: DataFrame, unlike: DataFrame, more: int = 1) -> DataFrame:
+    """Pairs (a, b) in two components of the tree that may be similar, of those that share a shingle and aren't in unlike; open: a list that has more of them.
 
     The sets of a list are dealt into blocks of about BLOCK, those of its main
     component apart from the others, and blocks are compared two by two, but for
@@ -199,10 +231,12 @@ def across(shared: DataFrame, lists: DataFrame, tree: DataFrame, nodes: DataFram
     start = F.when(F.col("inside"), F.col("p")).otherwise(F.lit(0))
     members = members.select("token", "node", "n", "comp", block.alias("block"), F.sequence(start, F.col("p") + F.col("q") - 1).alias("others"))
     least = members.groupBy("node").agg(F.slice(F.sort_array(F.collect_set("token")), 1, LEAST).alias("least"))
+    least = least.join(unlike.groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("unlike")), "node", "left")
     members = members.join(least.join(nodes.select("__node", "__sketch").mapInArrow(_brief, "node long, brief binary"), "node"), "node")
     cells = members.withColumn("other", F.explode("others"))
     cells = cells.groupBy("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    return cells.agg(F.collect_list(F.struct("comp", "node", "n", "block", "brief", "least")).alias("sets")).select("token", "sets").mapInArrow(_across, "a long, b long")
+    sets = cells.agg(F.collect_list(F.struct("comp", "node", "n", "block", "brief", "least", "unlike")).alias("sets")).select("token", "sets")
+    return sets.mapInArrow(lambda batches: _across(batches, more), "a long, b long, open long")
 
 
 def sketch(s: np.ndarray) -> bytes:
@@ -235,11 +269,16 @@ def possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def by_fingerprint(nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes that SimHash proposes: of one fingerprint, and the first ones of two that differ in at most DIFFER bits."""
+    """The pairs (a, b) of nodes that SimHash proposes: of one fingerprint, and the first ones of two that differ in at most DIFFER bits.
+
+    Of the latter as many as join all fingerprints that such pairs join; the
+    others cost a crowd the square of its size, and where one of these fails,
+    the prefix filter has the pairs that are similar.
+    """
     prints = materialize(nodes.groupBy("__fp").agg(F.min("__node").alias("first")), "prints")
     same = nodes.select("__fp", "__node").join(prints, "__fp").where("__node > first").select(F.col("first").alias("a"), F.col("__node").alias("b"))
     one, two = (prints.select(F.col("__fp").alias(c), F.col("first").alias("f" + c)) for c in "xy")
-    near = links(prints.select(F.col("__fp").alias("fp")), DIFFER).toDF("x", "y").join(one, "x").join(two, "y").select(F.least("fx", "fy").alias("a"), F.greatest("fx", "fy").alias("b"))
+    near = spanning(links(prints.select(F.col("__fp").alias("fp")), DIFFER)).toDF("x", "y").join(one, "x").join(two, "y").select(F.least("fx", "fy").alias("a"), F.greatest("fx", "fy").alias("b"))
     return same.union(near)
 
 
@@ -261,11 +300,20 @@ def similar_components(rows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
         return materialize(verified(left, nodes.select("__node", "text").join(held, "__node", "left_semi"), shingle), "similar")
 
     edges = linked(by_fingerprint(nodes).union(stars(shared)))
-    tree = materialize(components(edges), "tree")
-    lists = materialize(mixed_lists(shared, tree), "mixed")
-    if lists.isEmpty():
-        return tree
-    return components(tree.toDF("a", "b").union(linked(across(shared, lists, tree, nodes))))
+    tree, unlike = materialize(components(edges), "tree"), edges.limit(0)
+    for k in count():
+        lists = materialize(mixed_lists(shared, tree), "mixed")
+        if lists.isEmpty():
+            break
+        found = materialize(across(shared, lists, tree, nodes, unlike, MORE**k), "across")
+        pairs, left = found.where("open IS NULL").select("a", "b").distinct(), found.select("open").where("open IS NOT NULL").distinct()
+        edges = linked(pairs)
+        tree = materialize(components(tree.toDF("a", "b").union(edges)), "tree")
+        if left.isEmpty():
+            break
+        unlike = materialize(unlike.union(pairs.join(edges, ["a", "b"], "left_anti")), "unlike")
+        shared = materialize(shared.join(left.toDF("token"), "token", "left_semi"), "open")
+    return tree
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
